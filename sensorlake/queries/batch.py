@@ -26,7 +26,7 @@ from sensorlake.queries import inputs
 from sensorlake.queries.inputs import events, naive, rounded
 from sensorlake.session import work_dir
 from sensorlake.sinks import tables as sinks
-from sensorlake.sources import landed
+from sensorlake.sources import landed, objects
 from sensorlake.sources import tables as sources
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,7 +78,7 @@ def points_store(spark, sf_dir):
 
 @query
 def object_inventory(spark, sf_dir):
-    return naive(sources.object_inventory(inputs.prepare(spark), sf_dir))
+    return naive(objects.object_inventory(inputs.prepare(spark), sf_dir))
 
 
 @query

@@ -1,0 +1,115 @@
+"""Listing of stored objects, spread over tasks by folder.
+
+Spark's file sources leave out empty files and keep the whole listing in the
+driver, so the listing is a data source of its own: the driver finds enough
+folders to share out, and each task walks its folders one after another.
+"""
+
+from __future__ import annotations
+
+import os
+import sys
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from fnmatch import fnmatch
+
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+FORMAT = "object_listing"
+# The driver opens folders until there are this many to share out.
+_FOLDERS = 64
+
+
+@dataclass
+class _Folder(InputPartition):
+    path: str
+    deep: bool
+
+
+class ObjectListing(DataSource):
+    """Options: ``path``, and ``pattern`` for the last part of the name."""
+
+    @classmethod
+    def name(cls) -> str:
+        return FORMAT
+
+    def schema(self) -> str:
+        return "path STRING, length BIGINT, modificationTime TIMESTAMP"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _Reader(self.options["path"], self.options.get("pattern"))
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, path: str, pattern: str | None):
+        self.path, self.pattern = path, pattern
+
+    def partitions(self) -> Sequence[InputPartition]:
+        store, root = _open(self.path)
+        opened: list[_Folder] = []
+        waiting = [root]
+        while waiting and len(opened) + len(waiting) < _FOLDERS:
+            folder = waiting.pop(0)
+            opened.append(_Folder(folder, deep=False))
+            waiting += [info.path for info in _entries(store, folder) if _is_folder(info)]
+        return opened + [_Folder(folder, deep=True) for folder in waiting]
+
+    def read(self, partition: _Folder) -> Iterator[tuple]:
+        store, root = _open(self.path)
+        base = self.path.rstrip("/")
+        waiting = [partition.path]
+        while waiting:
+            for info in _entries(store, waiting.pop()):
+                if _is_folder(info):
+                    if partition.deep:
+                        waiting.append(info.path)
+                elif self.pattern is None or fnmatch(info.base_name, self.pattern):
+                    yield base + info.path[len(root) :], info.size, info.mtime
+
+
+def _is_folder(info) -> bool:
+    from pyarrow.fs import FileType
+
+    return info.type == FileType.Directory
+
+
+def _entries(store, folder: str):
+    from pyarrow.fs import FileSelector
+
+    return store.get_file_info(FileSelector(folder))
+
+
+def _open(path: str):
+    """The store and the folder in it. Keys for S3 come from the environment."""
+    from pyarrow import fs
+
+    scheme, mark, rest = path.partition("://")
+    if mark and scheme in ("s3", "s3a"):
+        endpoint = os.environ.get("SENSORLAKE_S3_ENDPOINT", "")
+        store = fs.S3FileSystem(
+            access_key=os.environ.get("SENSORLAKE_S3_ACCESS_KEY"),
+            secret_key=os.environ.get("SENSORLAKE_S3_SECRET_KEY"),
+            endpoint_override=endpoint.partition("://")[2] or endpoint or None,
+            scheme="http" if endpoint.startswith("http://") else "https",
+        )
+        return store, rest.rstrip("/")
+    if path.startswith("file:"):
+        path = "/" + path[len("file:") :].lstrip("/")
+    if "://" in path:
+        store, root = fs.FileSystem.from_uri(path)
+    else:
+        store, root = fs.LocalFileSystem(), os.path.abspath(path)
+    return store, root.rstrip("/")
+
+
+def object_inventory(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """Path, size and change time of every object below a path, empty ones too."""
+    # Executors need not have this package installed.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    spark.dataSource.register(ObjectListing)
+    reader = spark.read.format(FORMAT).option("path", path)
+    if pattern:
+        reader = reader.option("pattern", pattern)
+    return reader.load()

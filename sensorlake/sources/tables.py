@@ -1,4 +1,4 @@
-"""Lake tables, point tables, result files and object listings."""
+"""Lake tables, point tables and result files."""
 
 from __future__ import annotations
 
@@ -87,14 +87,6 @@ def read_results(
     return reader.schema(schema).option("enforceSchema", "false").csv(path)
 
 
-def object_inventory(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """Path, size and change time of every object below a path; no content is read."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    return reader.load(path).select("path", "length", "modificationTime")
-
-
 def table_exists(spark: SparkSession, path: str, fmt: str = "parquet") -> bool:
     """Whether a readable table lies at a path."""
     try:
