@@ -130,7 +130,9 @@ def relabel(
 
     A prefix rule adds each label that has the prefix under its bare name, in
     place of a label of that name. A copy sets the target label to the source's
-    value; an absent or empty source removes the target.
+    value; an absent or empty source removes the target. Relies on the session
+    setting that the last entry of a key wins; without it Spark raises an error
+    where two labels meet.
     """
     if prefixes:
         rules = F.array(*[F.lit(prefix) for prefix in prefixes])
@@ -142,21 +144,17 @@ def relabel(
 
 
 def _strip_prefix(labels: Column, prefix: Column) -> Column:
-    bare = F.transform_keys(
-        F.map_filter(labels, lambda k, _: k.startswith(prefix) & (k != prefix)),
-        lambda k, _: k.substr(F.length(prefix) + 1, F.length(k)),
-    )
-    kept = F.map_filter(labels, lambda k, _: ~F.map_contains_key(labels, F.concat(prefix, k)))
-    return F.map_concat(kept, bare)
+    found = F.map_filter(labels, lambda k, _: k.startswith(prefix) & (k != prefix))
+    bare = F.transform_keys(found, lambda k, _: k.substr(F.length(prefix) + 1, F.length(k)))
+    return F.map_concat(labels, bare)
 
 
 def _copy_label(labels: Column, rule: Column) -> Column:
     value = F.try_element_at(labels, rule["source"])
-    kept = F.map_filter(labels, lambda k, _: k != rule["target"])
     return F.when(
         F.coalesce(value, F.lit("")) != "",
-        F.map_concat(kept, F.create_map(rule["target"], value)),
-    ).otherwise(kept)
+        F.map_concat(labels, F.create_map(rule["target"], value)),
+    ).otherwise(F.map_filter(labels, lambda k, _: k != rule["target"]))
 
 
 # Fixed value: the container log line. Only a line feed ends it.

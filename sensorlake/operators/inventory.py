@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sensorlake import schemas
-from sensorlake.functions import times
+from sensorlake.functions import plan, times
 
 MISSING = "N/A"
 # Fixed value: the label prefix that marks a node's role.
@@ -22,7 +22,7 @@ def explode_items(
     """One row per entry of ``items``; ``value`` is JSON text, or None if parsed already."""
     if value is not None:
         document = F.from_json(F.col(value).cast("string"), schemas.item_list(item))
-        df = df.select(*keep, document["items"].alias("items"))
+        df = df.select(*keep, plan.fields_once(document))
     return df.select(*keep, F.explode("items").alias("item")).select(*keep, "item.*")
 
 
@@ -31,14 +31,14 @@ def nodes(df: DataFrame, *, as_of: times.Instant = None, keep: Sequence[str] = (
     created = F.try_to_timestamp(
         F.col("metadata.creationTimestamp"), F.lit("yyyy-MM-dd'T'HH:mm:ssX")
     )
-    return df.select(
+    return df.withColumn("_created", created).select(
         *keep,
         F.col("metadata.name").alias("name"),
         _or_missing(F.try_element_at("status.conditions", F.lit(-1)).getField("type")).alias(
             "status"
         ),
         _roles(F.col("metadata.labels")).alias("roles"),
-        times.age_text(created, times.instant(as_of, T.TimestampType())).alias("age"),
+        times.age_text(F.col("_created"), times.instant(as_of, T.TimestampType())).alias("age"),
         _or_missing(F.col("status.nodeInfo.kubeletVersion")).alias("version"),
     )
 

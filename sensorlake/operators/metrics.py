@@ -107,4 +107,4 @@ def relabel(
     copies: Sequence[tuple[str, str]] = text.LABEL_COPIES,
 ) -> DataFrame:
     """Apply the label rules to a map column."""
-    return df.withColumn(column, text.relabel(F.col(column), prefixes, copies))
+    return df.withColumn(column, plan.once(text.relabel(F.col(column), prefixes, copies)))

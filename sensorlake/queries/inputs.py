@@ -23,8 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def props_k() -> Column:
-    return F.regexp_extract("props", r"(\d+)", 1).cast("int")
+def with_k(rows: DataFrame) -> DataFrame:
+    """Events with the number in ``props``."""
+    return rows.withColumn("k", F.regexp_extract("props", r"(\d+)", 1).cast("int"))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +48,7 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
 
 def points(rows: DataFrame) -> DataFrame:
     """Two traffic points per event; a few have no second one."""
-    k = props_k()
+    rows, k = with_k(rows), F.col("k")
     fields = F.array(
         F.struct(F.lit("rx_mibps").alias("_field"), F.col("value").alias("_value")),
         F.struct(F.lit("tx_mibps").alias("_field"), F.when(k >= 5, k * 0.5).alias("_value")),
@@ -83,7 +84,7 @@ def metric_points(rows: DataFrame) -> DataFrame:
 
 def metric_lines(rows: DataFrame) -> DataFrame:
     """One exposition line per event, with the odd lines a scrape may hold."""
-    k = props_k()
+    rows, k = with_k(rows), F.col("k")
     label = F.concat(F.lit('{topic="t '), (F.col("user_id") % 3).cast("string"), F.lit('"}'))
     name = F.concat(F.expr(METRIC_NAME), F.when(F.col("event_type") == "view", label).otherwise(""))
     number = F.col("value").cast("string")
@@ -103,7 +104,7 @@ def metric_lines(rows: DataFrame) -> DataFrame:
 
 def detection_messages(rows: DataFrame) -> DataFrame:
     """Detections in message envelopes; some cut off, empty, null or of a wrong type."""
-    k = props_k()
+    rows, k = with_k(rows), F.col("k")
     record = F.to_json(
         F.struct(
             F.col("user_id").alias("id"),
@@ -125,7 +126,7 @@ def detection_messages(rows: DataFrame) -> DataFrame:
 
 def sensor_messages(rows: DataFrame) -> DataFrame:
     """Sensor records in message envelopes, some with bad times or cut off."""
-    k = props_k()
+    rows, k = with_k(rows), F.col("k")
     stamp = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     record = F.to_json(
         F.struct(
@@ -144,9 +145,10 @@ def sensor_messages(rows: DataFrame) -> DataFrame:
 
 def position_messages(rows: DataFrame) -> DataFrame:
     stamp = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    rows = with_k(rows)
     record = F.to_json(
         F.struct(
-            F.when(props_k() >= 5, F.col("user_id")).alias("id"),
+            F.when(F.col("k") >= 5, F.col("user_id")).alias("id"),
             F.col("event_type").alias("tag_id"),
             F.col("value").alias("x_position"),
             (-F.col("value")).alias("y_position"),
@@ -282,7 +284,7 @@ def box_documents(customers: DataFrame) -> DataFrame:
 
 def raw_metric_names(rows: DataFrame) -> DataFrame:
     """Bean attribute names as the broker reports them, some matched by no rule."""
-    k = props_k().cast("string")
+    rows, k = with_k(rows), F.col("k").cast("string")
     name = (
         F.when(
             F.col("event_type") == "click",
