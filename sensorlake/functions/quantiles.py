@@ -12,10 +12,12 @@ from sensorlake.session import ensure_checkpoint_dir
 
 # A group of at most this many values may be ranked within one task.
 DIRECT_ROWS = 100_000
-# Broadcast the per-group ranges up to this many groups (about 100 bytes each).
+# Broadcast the per-group ranges up to this many groups (about 150 bytes each).
 BROADCAST_GROUPS = 20_000
 
+# Points read from a sketch, and its accuracy (one over the rank error).
 _GRID = 500
+_ACCURACY = 2_000
 _MAX_ROUNDS = 8
 
 
@@ -49,25 +51,23 @@ def grouped_quantiles(
     *,
     stats: dict[str, Column] | None = None,
     direct_rows: int = DIRECT_ROWS,
-    accuracy: int | None = None,
 ) -> DataFrame:
     """Exact quantiles per group, interpolated linearly between neighbouring ranks.
 
     ``stats`` are further aggregates over the cleaned value ``_v``; they are
-    worked out in the first pass, which also yields the group sizes. If every
-    group is small, Spark's own ``percentile`` ranks it. Otherwise each round
-    narrows a large group to the value range that must hold the wanted rank,
-    found from a sketch with a known rank error, until what is left is small;
-    values below the range are only counted. The first pass and the ranges are
-    checkpointed, so all tasks, also repeated ones, use the same ranges.
+    worked out in the first pass, which also yields the group sizes. Spark's own
+    ``percentile`` ranks the small groups. For the large ones each round narrows
+    the group to the value range that must hold the wanted rank, found from a
+    sketch with a known rank error, until what is left is small; values below
+    the range are only counted. The first pass and the ranges are checkpointed,
+    so all tasks, also repeated ones, use the same ranges.
     """
     keys = list(keys)
     if not keys:
         raise ValueError("name at least one grouping column")
-    if accuracy is None:
-        accuracy = direct_rows // 10
-    if direct_rows < 10 * accuracy:
-        raise ValueError("direct_rows must be at least ten times the accuracy")
+    accuracy = min(direct_rows // 10, _ACCURACY)
+    if accuracy < 1:
+        raise ValueError("direct_rows must be at least ten")
     ensure_checkpoint_dir(df.sparkSession)
 
     data = df.select(*keys, clean(value).alias("_v"))
@@ -79,14 +79,18 @@ def grouped_quantiles(
         )
         .checkpoint()
     )
-    groups, largest = sizes.agg(F.count("*"), F.max("_size")).first()
+    big = F.col("_size") > direct_rows
+    groups, large = sizes.agg(F.count("*"), F.count_if(big)).first()
     data = data.filter(F.col("_v").isNotNull())
-    if (largest or 0) <= direct_rows:
+    if not large:
         found = _direct(data, keys, quantiles)
     else:
-        found = _narrowed(data, sizes, keys, quantiles, groups, direct_rows, accuracy)
-    small = groups <= BROADCAST_GROUPS
-    return _join(sizes, F.broadcast(found) if small else found, keys, "left").drop("_size")
+        large_sizes = sizes.filter(big).select(*keys, "_size")
+        found = _narrowed(data, large_sizes, keys, quantiles, large, direct_rows, accuracy)
+        if large < groups:
+            rest = _join(data, _sized(large_sizes.select(*keys), large), keys, "left_anti")
+            found = found.unionByName(_direct(rest, keys, quantiles))
+    return _join(sizes, _sized(found, groups), keys, "left").drop("_size")
 
 
 def _direct(data: DataFrame, keys: list[str], quantiles: dict[str, float]) -> DataFrame:
@@ -113,35 +117,46 @@ def _narrowed(
         ],
         *[F.lit(float("-inf")).alias(f"_lo_{q}") for q in names],
         *[F.lit(float("inf")).alias(f"_hi_{q}") for q in names],
-        *[F.col("_size").cast("double").alias(f"_held_{q}") for q in names],
     )
-    for _ in range(_MAX_ROUNDS):
+    for turn in range(_MAX_ROUNDS):
+        joined = _with_ranges(data, ranges, keys, groups)
+        # All ranges are still the same in the first turn: one sketch serves them.
+        ranges = _tighter(joined, keys, names, direct_rows, accuracy, shared=turn == 0).checkpoint()
         wide = [
             (F.col(f"_held_{q}") > direct_rows) & (F.col(f"_lo_{q}") < F.col(f"_hi_{q}"))
             for q in names
         ]
         if ranges.filter(reduce(lambda a, b: a | b, wide)).isEmpty():
             break
-        joined = _with_ranges(data, ranges, keys, groups)
-        ranges = _tighter(joined, keys, names, direct_rows, accuracy).checkpoint()
     return _ranked(_with_ranges(data, ranges, keys, groups), keys, names)
 
 
+def _sized(small: DataFrame, groups: int) -> DataFrame:
+    """Broadcast one row per group where there are few enough groups.
+
+    Beyond the bound the rows meet by key, and AQE splits hot keys.
+    """
+    return F.broadcast(small) if groups <= BROADCAST_GROUPS else small
+
+
 def _with_ranges(data: DataFrame, ranges: DataFrame, keys: list[str], groups: int) -> DataFrame:
-    # Beyond the bound the rows are joined by key and AQE splits hot keys.
-    return _join(data, F.broadcast(ranges) if groups <= BROADCAST_GROUPS else ranges, keys, "inner")
+    return _join(data, _sized(ranges, groups), keys, "inner")
 
 
 def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
-    renamed = right.withColumnsRenamed({k: f"_key_{i}" for i, k in enumerate(keys)})
-    same = [left[k].eqNullSafe(renamed[f"_key_{i}"]) for i, k in enumerate(keys)]
-    return left.join(renamed, reduce(lambda a, b: a & b, same), how).drop(
-        *[f"_key_{i}" for i in range(len(keys))]
-    )
+    marks = {k: f"_key_{i}" for i, k in enumerate(keys)}
+    renamed = right.withColumnsRenamed(marks)
+    same = [left[k].eqNullSafe(renamed[mark]) for k, mark in marks.items()]
+    return left.join(renamed, reduce(lambda a, b: a & b, same), how).drop(*marks.values())
 
 
 def _tighter(
-    joined: DataFrame, keys: list[str], names: list[str], direct_rows: int, accuracy: int
+    joined: DataFrame,
+    keys: list[str],
+    names: list[str],
+    direct_rows: int,
+    accuracy: int,
+    shared: bool,
 ) -> DataFrame:
     """One pass: sketch the values strictly inside each range, cut it around its rank.
 
@@ -151,7 +166,8 @@ def _tighter(
     grid = F.array(*[F.lit(i / _GRID) for i in range(_GRID + 1)])
     fixed = [f"_{part}_{q}" for q in names for part in ("rank", "lo", "hi")]
     aggregates = []
-    for q in names:
+    sketched = names[:1] if shared else names
+    for q in sketched:
         lo, hi, v = F.col(f"_lo_{q}"), F.col(f"_hi_{q}"), F.col("_v")
         inside = F.when((v > lo) & (v < hi), v)
         aggregates += [
@@ -163,10 +179,11 @@ def _tighter(
     seen = joined.groupBy(*keys, *fixed).agg(*aggregates)
     columns: list[Column] = [F.col(k) for k in keys]
     for q in names:
-        lo, hi, sketch = F.col(f"_lo_{q}"), F.col(f"_hi_{q}"), F.col(f"_sketch_{q}")
-        inside = F.col(f"_inside_{q}")
+        seen_as = names[0] if shared else q
+        lo, hi, sketch = F.col(f"_lo_{q}"), F.col(f"_hi_{q}"), F.col(f"_sketch_{seen_as}")
+        inside = F.col(f"_inside_{seen_as}")
         # Both neighbouring ranks, counted from the first value strictly inside.
-        start = F.col(f"_below_{q}") + F.col(f"_at_{q}")
+        start = F.col(f"_below_{seen_as}") + F.col(f"_at_{seen_as}")
         low = F.floor(f"_rank_{q}") - start
         high = F.ceil(f"_rank_{q}") - start
         # Two sketch errors of room on either side; the sketch is off by one.

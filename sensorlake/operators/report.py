@@ -43,5 +43,11 @@ def shifted_times(df: DataFrame, time: str, zone: str = "Asia/Seoul") -> DataFra
     )
 
 
+def named(df: DataFrame, name: str) -> DataFrame:
+    """Make a result known to SQL under a name."""
+    df.createOrReplaceTempView(name)
+    return df
+
+
 def _columns(names: Sequence[str]) -> list[Column]:
     return [F.col(f"`{name}`") for name in names]

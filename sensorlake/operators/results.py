@@ -67,3 +67,8 @@ def chart_rows(
     if resolution:
         df = df.filter(F.upper(F.col("resolution").cast("string")) == resolution.upper())
     return df.na.drop(subset=[mean]).na.fill({deviation: 0.0}).select(*keep, label, mean, deviation)
+
+
+def bar_text(mean: str | Column = "avg_tx_mibps") -> Column:
+    """The mean to one place, as written on its bar."""
+    return F.format_string("%.1f", mean)

@@ -448,10 +448,9 @@ def _results(spark, sf_dir):
 @query
 def results_filter(spark, sf_dir):
     rows = _results(spark, sf_dir)
+    chart = results.chart_rows(rows, resolution="fhd", keep=["resolution"])
     return rounded(
-        results.chart_rows(rows, resolution="fhd", keep=["resolution"]),
-        "avg_tx_mibps",
-        "std_tx_mibps",
+        chart.withColumn("bar_text", results.bar_text()), "avg_tx_mibps", "std_tx_mibps"
     )
 
 

@@ -330,7 +330,8 @@ SQL: dict[str, str] = {
             FROM events)
         SELECT event_id, {_age("secs")} AS age FROM s""",
     "results_filter": f"""WITH {_RESULTS} SELECT resolution, experiment_label, avg_tx_mibps,
-        coalesce(std_tx_mibps, 0) AS std_tx_mibps FROM results
+        coalesce(std_tx_mibps, 0) AS std_tx_mibps, printf('%.1f', avg_tx_mibps) AS bar_text
+        FROM results
         WHERE upper(resolution) = 'FHD' AND avg_tx_mibps IS NOT NULL""",
     "results_csv_roundtrip": f"WITH {_RESULTS} SELECT * FROM results",
     "tz_shift": """SELECT ts AS raw_ts, ts + INTERVAL 9 HOUR AS as_local_if_utc,
@@ -360,7 +361,7 @@ SQL: dict[str, str] = {
     "stream_batched_export": "SELECT count(*) AS records, TRUE AS within_limit FROM events",
     "stream_log_source": f"""WITH {_LOG_LINES} SELECT CASE WHEN hit THEN 'stdout' END AS stream,
         CASE WHEN hit THEN 'F' END AS tag, count(*) AS lines,
-        sum(CASE WHEN hit THEN length(piece) END) AS message_chars,
-        sum(length(stamp || ' stdout F ' || piece)) AS body_chars,
+        CAST(sum(CASE WHEN hit THEN length(piece) END) AS BIGINT) AS message_chars,
+        CAST(sum(length(stamp || ' stdout F ' || piece)) AS BIGINT) AS body_chars,
         count(*) FILTER (WHERE hit) AS timed FROM lines GROUP BY ALL""",
 }

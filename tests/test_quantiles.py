@@ -42,7 +42,7 @@ def test_describe_is_exact_at_every_size(skewed, direct_rows):
 
 def test_edge_of_a_heavy_value(spark):
     """The wanted rank lies right at the edge of a value held by many rows."""
-    for share in (2_499, 2_500, 2_501, 5_000, 7_499, 7_501):
+    for share in (2_499, 2_501, 7_500):
         df = spark.range(10_000).select(
             F.lit("a").alias("k"),
             F.when(F.col("id") < share, 0.0).otherwise(F.col("id") / 7.0).alias("v"),

@@ -108,6 +108,11 @@ def test_head_and_tail(points):
     assert "TakeOrderedAndProject" in plan
 
 
+def test_named_result(points, spark):
+    report.named(points.filter("host = 'b'"), "results")
+    assert spark.sql("SELECT seq FROM results").collect() == [(4,)]
+
+
 def test_schema_report(points):
     rows = report.schema_report(points).collect()
     assert [r["column_name"] for r in rows] == points.columns
