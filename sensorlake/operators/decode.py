@@ -128,3 +128,9 @@ def validate_commands(df: DataFrame, *, value: str = "value", keep: Sequence[str
         .otherwise("Invalid input")
         .alias("message"),
     )
+
+
+def accepted_commands(checked: DataFrame, *, key: str | None = None) -> DataFrame:
+    """The messages to send for checked commands: command and duration of each good one."""
+    good = checked.filter(F.col("status") == "success")
+    return to_json_messages(good, columns=schemas.COMMAND.fieldNames(), key=key)

@@ -144,6 +144,15 @@ def command_validate(spark, sf_dir):
     return decode.validate_commands(messages, keep=["conv_id", "turn"])
 
 
+@query
+def command_send(spark, sf_dir):
+    messages = inputs.command_messages(inputs.table(spark, sf_dir, "conversations"))
+    checked = decode.validate_commands(messages, keep=["conv_id"])
+    sent = decode.accepted_commands(checked, key="conv_id")
+    received = decode.decode_json(sent, schemas.COMMAND, keep=["key"])
+    return received.withColumn("key", F.col("key").cast("string"))
+
+
 @query
 def coerce_time_drop(spark, sf_dir):
     rows = events(spark, sf_dir).select(

@@ -210,6 +210,9 @@ SQL: dict[str, str] = {
              WHEN (turn = 0 OR turn > 6) AND text <> '' THEN 'Command sent successfully'
              ELSE 'Invalid input' END AS message
         FROM conversations""",
+    "command_send": """SELECT CAST(conv_id AS VARCHAR) AS "key", text AS command,
+        CASE WHEN turn = 0 THEN 0.0 ELSE CAST(turn + 0.5 AS DOUBLE) END AS duration
+        FROM conversations WHERE (turn = 0 OR turn > 6) AND text <> ''""",
     "coerce_time_drop": """SELECT event_id, ts AS _time FROM events
         WHERE event_type <> 'error'""",
     "prom_parse": f"WITH {_lines(True)} SELECT * FROM samples",

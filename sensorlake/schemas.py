@@ -47,6 +47,8 @@ MESSAGE = struct(
     timestampType=_INT,
 )
 
+COMMAND = struct(command=_TEXT, duration=_DOUBLE)
+
 METRIC_SAMPLE = struct(metric=_TEXT, value=_DOUBLE, timestamp=_TIME)
 
 EXPERIMENT_RESULT = struct(

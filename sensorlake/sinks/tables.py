@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sensorlake.operators import decode
+from sensorlake.sources.tables import connector
 
 POINT_PARTITIONS = ("_measurement", "date")
 
@@ -25,7 +26,8 @@ def ensure_table(
 
     With ``name`` the table is also entered in the catalog.
     """
-    spark.createDataFrame([], schema).write.format(fmt).mode("ignore").save(path)
+    with connector(fmt):
+        spark.createDataFrame([], schema).write.format(fmt).mode("ignore").save(path)
     if name and not spark.catalog.tableExists(name):
         spark.catalog.createTable(name, path=path, source=fmt)
 
@@ -43,7 +45,8 @@ def append(
         writer = writer.option("mergeSchema", "true")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.save(path)
+    with connector(fmt):
+        writer.save(path)
 
 
 def append_points(df: DataFrame, path: str, *, tags: Sequence[str] = ("metric",)) -> None:
@@ -77,9 +80,6 @@ def write_messages(
 ) -> None:
     """Send every row as a JSON message to a topic."""
     messages = decode.to_json_messages(df, columns=columns, key=key)
-    (
-        messages.write.format("kafka")
-        .option("kafka.bootstrap.servers", servers)
-        .option("topic", topic)
-        .save()
-    )
+    writer = messages.write.format("kafka").option("kafka.bootstrap.servers", servers)
+    with connector("kafka"):
+        writer.option("topic", topic).save()

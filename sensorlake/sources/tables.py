@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
@@ -37,9 +38,15 @@ def lake_scan(
 
 
 def load(reader, fmt: str, path: str | None = None) -> DataFrame:
-    """Load, and say plainly when the connector for ``fmt`` is not installed."""
-    try:
+    with connector(fmt):
         return reader.load(path) if path else reader.load()
+
+
+@contextmanager
+def connector(fmt: str) -> Iterator[None]:
+    """Say plainly when the connector for ``fmt`` is not installed."""
+    try:
+        yield
     except Exception as error:
         if "DATA_SOURCE_NOT_FOUND" in str(error) or "Failed to find data source" in str(error):
             raise RuntimeError(

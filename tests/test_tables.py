@@ -143,6 +143,11 @@ def test_a_connector_that_is_not_there_is_named(spark):
         messages.topic_stream(spark, servers="h:1", topic="t", group_id="g", max_offsets=5)
     with pytest.raises(RuntimeError, match="delta connector"):
         sources.lake_scan(spark, "/tmp/none", fmt="delta")
+    rows = spark.createDataFrame([(1, "car", 0.9)], schemas.DETECTIONS)
+    with pytest.raises(RuntimeError, match="kafka connector"):
+        sinks.write_messages(rows, servers="h:1", topic="t", key="id")
+    with pytest.raises(RuntimeError, match="delta connector"):
+        sinks.append(rows, "/tmp/none", fmt="delta")
 
 
 def test_store_settings_come_from_the_environment():
