@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorlake.session import ensure_checkpoint_dir
+from sensorlake.session import ensure_checkpoint_dir, work_dir
 
 # A group of at most this many values may be ranked within one task.
 DIRECT_ROWS = 100_000
@@ -28,9 +28,18 @@ def clean(value: str | Column) -> Column:
 
 
 def describe(
-    df: DataFrame, keys: Sequence[str], value: str, *, direct_rows: int = DIRECT_ROWS
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    *,
+    saved: bool = False,
+    direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
-    """Count, mean, deviation, minimum, exact quartiles and maximum per group."""
+    """Count, mean, deviation, minimum, exact quartiles and maximum per group.
+
+    The input is read several times. ``saved`` writes its keys and values to
+    the shared folder first; use it when the input is more than a scan.
+    """
     quartiles = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
     stats = {
         "count": F.count("_v"),
@@ -39,6 +48,10 @@ def describe(
         "min": F.min("_v"),
         "max": F.max("_v"),
     }
+    if saved:
+        path = work_dir(df.sparkSession, "describe")
+        df.select(*keys, value).write.parquet(path)
+        df = df.sparkSession.read.parquet(path)
     result = grouped_quantiles(df, keys, value, quartiles, stats=stats, direct_rows=direct_rows)
     return result.select(*keys, "count", "mean", "std", "min", *quartiles, "max")
 

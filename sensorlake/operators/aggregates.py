@@ -42,16 +42,26 @@ def summary(
     return df.groupBy(*keys).agg(*aggregates)
 
 
-def describe(df: DataFrame, *, keys: Sequence[str] = ("_field",), value: str = "_value") -> DataFrame:
+def describe(
+    df: DataFrame,
+    *,
+    keys: Sequence[str] = ("_field",),
+    value: str = "_value",
+    saved: bool = False,
+) -> DataFrame:
     """Count, mean, deviation, extremes and exact quartiles of narrow rows."""
-    return quantiles.describe(df, keys, value)
+    return quantiles.describe(df, keys, value, saved=saved)
 
 
 def describe_columns(df: DataFrame, columns: Sequence[str] = TRAFFIC) -> DataFrame:
-    """The same for the wide columns that exist; one row per column."""
+    """The same for the wide columns that exist; one row per column.
+
+    Wide rows come from a pivot, so their values are saved before the passes.
+    """
     present = [name for name in columns if name in df.columns]
     doubles = df.select(*[F.col(name).cast("double") for name in present])
-    return quantiles.describe(doubles.unpivot([], present, "column", "value"), ["column"], "value")
+    narrow = doubles.unpivot([], present, "column", "value")
+    return quantiles.describe(narrow, ["column"], "value", saved=True)
 
 
 def metric_stats(

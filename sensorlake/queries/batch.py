@@ -278,7 +278,8 @@ def retention_cut(spark, sf_dir):
 @query
 def series_pivot(spark, sf_dir):
     points = inputs.hourly_points(events(spark, sf_dir))
-    return naive(series.pivot(points, ["_time", "host", "interfaces"], "_field", traffic.FIELDS, order="seq"))
+    keys = ["_time", "host", "interfaces"]
+    return naive(series.pivot(points, keys, "_field", traffic.FIELDS, order="seq"))
 
 
 @query
@@ -373,7 +374,10 @@ def rate_of_change(spark, sf_dir):
     rows = events(spark, sf_dir).withColumnsRenamed({"ts": "_time", "value": "_value"})
     rates = aggregates.rate_of_change(rows, keys=["user_id", "event_type"])
     return rates.select(
-        "user_id", "event_type", F.round("seconds", 6).alias("seconds"), F.round("rate", 9).alias("rate")
+        "user_id",
+        "event_type",
+        F.round("seconds", 6).alias("seconds"),
+        F.round("rate", 9).alias("rate"),
     )
 
 
@@ -490,7 +494,9 @@ def kst_to_utc(spark, sf_dir):
 @query
 def rfc3339_format(spark, sf_dir):
     return events(spark, sf_dir).select(
-        "event_id", times.rfc3339(F.col("ts")).alias("written"), times.utc_text(F.col("ts")).alias("full")
+        "event_id",
+        times.rfc3339(F.col("ts")).alias("written"),
+        times.utc_text(F.col("ts")).alias("full"),
     )
 
 

@@ -236,7 +236,8 @@ def node_documents(orders: DataFrame) -> DataFrame:
             F.struct(version.alias("nodeInfo")).alias("status"),
         )
     )
-    return orders.select(F.concat(F.lit('{"items":['), full, F.lit(","), bare, F.lit("]}")).alias("value"))
+    document = F.concat(F.lit('{"items":['), full, F.lit(","), bare, F.lit("]}"))
+    return orders.select(document.alias("value"))
 
 
 def box_documents(customers: DataFrame) -> DataFrame:
@@ -285,20 +286,19 @@ def box_documents(customers: DataFrame) -> DataFrame:
 def raw_metric_names(rows: DataFrame) -> DataFrame:
     """Bean attribute names as the broker reports them, some matched by no rule."""
     rows, k = with_k(rows), F.col("k").cast("string")
+    kind = F.col("event_type")
+    rate = F.concat(
+        F.lit("kafka.server<type=BrokerTopicMetrics, name=Bytes"), k, F.lit("InPerSec><>Count")
+    )
+    gauge = F.concat(
+        F.lit("kafka.server<type=ReplicaManager, name=Partition-"), k, F.lit("><>Value: 4")
+    )
+    other = F.concat(F.lit("org.apache.zookeeper<name=Conn"), k, F.lit("><>Value"))
     name = (
-        F.when(
-            F.col("event_type") == "click",
-            F.concat(F.lit("kafka.server<type=BrokerTopicMetrics, name=Bytes"), k, F.lit("InPerSec><>Count")),
-        )
-        .when(
-            F.col("event_type") == "view",
-            F.concat(F.lit("kafka.server<type=ReplicaManager, name=Partition-"), k, F.lit("><>Value: 4")),
-        )
-        .when(F.col("event_type") == "purchase", "kafka.server<type=KafkaServer, name=BrokerState><>Value")
-        .when(
-            F.col("event_type") == "signup",
-            F.concat(F.lit("org.apache.zookeeper<name=Conn"), k, F.lit("><>Value")),
-        )
+        F.when(kind == "click", rate)
+        .when(kind == "view", gauge)
+        .when(kind == "purchase", "kafka.server<type=KafkaServer, name=BrokerState><>Value")
+        .when(kind == "signup", other)
         .otherwise(F.concat(F.lit("java.lang<type=Memory><>used"), k))
     )
     return rows.select("event_id", name.alias("name"))

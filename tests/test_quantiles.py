@@ -40,6 +40,10 @@ def test_describe_is_exact_at_every_size(skewed, direct_rows):
     check(skewed, ["k"], "v", direct_rows=direct_rows)
 
 
+def test_saved_input_gives_the_same(skewed):
+    check(skewed, ["k"], "v", direct_rows=10_000, saved=True)
+
+
 def test_edge_of_a_heavy_value(spark):
     """The wanted rank lies right at the edge of a value held by many rows."""
     for share in (2_499, 2_501, 7_500):
