@@ -102,6 +102,30 @@ def test_points_are_partitioned_and_pruned(spark, tmp_path):
     assert files == 8
 
 
+def test_a_hot_day_is_written_by_several_tasks(spark, tmp_path):
+    path = str(tmp_path / "hot")
+    i = F.col("id")
+    day = F.when(i % 100 == 0, i % 700 / 100).otherwise(0).cast("bigint")
+    points = spark.range(0, 200_000, 1, 8).select(
+        F.timestamp_seconds(F.lit(1704067200) + day * 86400 + i % 86400).alias("_time"),
+        F.lit("m").alias("_measurement"),
+        F.md5(i.cast("string")).alias("metric"),
+        F.lit("value").alias("_field"),
+        F.rand(1).alias("_value"),
+    )
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        sinks.append_points(points, path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    written = spark.read.parquet(path)
+    files = written.select("date", F.input_file_name().alias("f")).distinct().groupBy("date").count()
+    counts = sorted(row["count"] for row in files.collect())
+    assert written.count() == 200_000 and len(counts) == 7
+    # A day that shares the hot day's hash partition is cut with it.
+    assert counts[-1] >= 4 and counts[0] == 1
+
+
 def test_metric_files_share_one_time(spark, tmp_path):
     folder = tmp_path / "scrapes"
     folder.mkdir()
