@@ -256,13 +256,18 @@ def _ranked(joined: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
         .agg(
             F.min(F.when(F.col("_upto") > low, F.col("_x"))).alias("_a"),
             F.min(F.when(F.col("_upto") > high, F.col("_x"))).alias("_b"),
+            F.max(F.when(F.col("_x").isNull(), F.col("_n")).otherwise(0)).alias("_under"),
+            F.max("_upto").alias("_all"),
         )
     )
+    # The sketch's error bound puts the rank inside; were it not, nothing is returned.
+    held = (low >= F.col("_under")) & (high < F.col("_all"))
     part = F.col("_rank") - low
     between = F.when(part == 0, F.col("_a")).otherwise(
         (high - F.col("_rank")) * F.col("_a") + part * F.col("_b")
     )
-    values = ends.select(*keys, "_q", between.alias("_quantile"))
+    missed = F.raise_error(F.lit("a quantile lies outside its range")).cast("double")
+    values = ends.select(*keys, "_q", F.when(held, between).otherwise(missed).alias("_quantile"))
     return values.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_q") == q, F.col("_quantile"))).alias(q) for q in names]
     )
