@@ -86,20 +86,19 @@ def _quoted(text: str) -> str:
 _VALUES = ", ".join(f"({k}, {_quoted(name)}, {_quoted(text)})" for k, (name, text) in enumerate(TEMPLATES))
 
 
-def _pairs(text: str) -> str:
-    words = f"string_split(trim(regexp_replace({_lowered(text)}, '[^a-z0-9]+', ' ', 'g')), ' ')"
-    return f"list_distinct(list_transform(range(1, len({words})), lambda i: {words}[i] || ' ' || {words}[i + 1]))"
-
+_SPLIT = f"string_split(trim(regexp_replace({_lowered('body')}, '[^a-z0-9]+', ' ', 'g')), ' ')"
+_PAIRS = "list_distinct(list_transform(list_zip(words[:-2], words[2:]), lambda p: p[1] || ' ' || p[2]))"
 
 SQL["op7_license_scan"] = f"""
-WITH templates AS (SELECT k, license_id, {_pairs("body")} AS own FROM (VALUES {_VALUES}) AS t(k, license_id, body)),
+WITH given AS (SELECT k, license_id, {_SPLIT} AS words FROM (VALUES {_VALUES}) AS t(k, license_id, body)),
+templates AS (SELECT k, license_id, {_PAIRS} AS own FROM given),
 parts AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
 units AS (
   SELECT doc_id, generate_subscripts(lines, 1) - 1 AS unit, unnest(lines) AS body FROM parts
   UNION ALL SELECT doc_id, -1, text FROM parts WHERE len(lines) > 1
-), sized AS (SELECT doc_id, unit, {_pairs("body")} AS own FROM units WHERE length(body) < 20000),
-small AS (SELECT * FROM sized WHERE len(own) BETWEEN 1 AND 2 * (SELECT max(len(own)) FROM templates)),
-each AS (SELECT doc_id, unit, len(own) AS n_bigrams, unnest(own) AS bigram FROM small),
+), cut AS MATERIALIZED (SELECT doc_id, unit, {_SPLIT} AS words FROM units),
+sized AS MATERIALIZED (SELECT doc_id, unit, {_PAIRS} AS own FROM cut WHERE len(words) > 1),
+each AS (SELECT doc_id, unit, len(own) AS n_bigrams, unnest(own) AS bigram FROM sized),
 index AS (SELECT k, license_id, len(own) AS other, unnest(own) AS bigram FROM templates),
 common AS (
   SELECT doc_id, unit, n_bigrams, k, license_id, other, count(*) AS n_common
