@@ -72,12 +72,13 @@ class _Element:
 
 @dataclass
 class Block:
-    """text, its element and container, characters inside links, and the classifier's score."""
+    """text, its element, characters inside links, the classifier's score, and whether a name speaks against it."""
 
     text: str
     element: _Element
     linked: int
     score: float = 0.0
+    against: bool = False
 
 
 @dataclass
@@ -161,11 +162,11 @@ def blocks_of(page: str) -> list[Block]:
             parts.append(" ")
     flush()
     for block in found:
-        block.score = _block_score(block)
+        _judge(block)
     return found
 
 
-def _block_score(block: Block) -> float:
+def _judge(block: Block) -> None:
     against, speaks_for, at = 0.0, 0.0, block.element
     while at is not None:
         against, speaks_for = min(against, at.score), max(speaks_for, at.score)
@@ -177,7 +178,7 @@ def _block_score(block: Block) -> float:
         score += 0.5
     if "©" in block.text[:40] or block.text[:9].lower() == "copyright":
         score -= 3.0
-    return score
+    block.score, block.against = score, against <= -4.0
 
 
 def _cost(score: float) -> float:
@@ -245,14 +246,20 @@ def labels(found: list[Block]) -> list[bool]:
         node.blocks.append(k)
         node.content += _cost(block.score)
         node.boilerplate += _cost(-block.score)
-    edges, of_container = [], {}
+
+    def near(a: int, b: int) -> float:
+        """Less where only one of two nodes stands in an element whose name speaks against it."""
+        return 1.0 if found[nodes[a].blocks[0]].against == found[nodes[b].blocks[0]].against else 0.25
+
+    edges: list[tuple[int, int, float]] = []
+    of_container: dict[int, int] = {}
     for k, node in enumerate(nodes):
         element = found[node.blocks[0]].element
         if k:
-            edges.append((k - 1, k, 1.0 / (1 + _distance(found[nodes[k - 1].blocks[-1]].element, element))))
+            edges.append((k - 1, k, near(k - 1, k) / (1 + _distance(found[nodes[k - 1].blocks[-1]].element, element))))
         container = (element.parent or element).number
         if container in of_container:
-            edges.append((of_container[container], k, 0.5))
+            edges.append((of_container[container], k, 0.5 * near(of_container[container], k)))
         of_container[container] = k
     kept = min_cut(len(nodes), [x.content for x in nodes], [x.boilerplate for x in nodes], edges)
     out = [False] * len(found)
