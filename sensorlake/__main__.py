@@ -53,14 +53,21 @@ def _stream(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def _collect(spark: SparkSession, args: argparse.Namespace) -> None:
-    lines = spark.read.text(args.scrapes).select("value", "_metadata.file_modification_time")
-    points = broker_metrics.collect(lines, F.col("file_modification_time"))
-    sinks.append_points(points, args.points)
+    """Store the points of scrapes that no earlier run has taken."""
+    lines = spark.readStream.text(args.scrapes).select("value", "_metadata.file_modification_time")
+
+    def store(batch: DataFrame, _: int) -> None:
+        points = broker_metrics.collect(batch, F.col("file_modification_time"))
+        sinks.append_points(points, args.points)
+
+    taken = args.checkpoint or args.points.rstrip("/") + "-collected"
+    writer = lines.writeStream.foreachBatch(store).option("checkpointLocation", taken)
+    writer.trigger(availableNow=True).start().awaitTermination()
 
 
 def _traffic(spark: SparkSession, args: argparse.Namespace) -> None:
     row = traffic.experiment(
-        spark.read.parquet(args.points),
+        sources.read_points(spark, args.points),
         label=args.label,
         resolution=args.resolution,
         reference_time_kst=args.start,
@@ -72,7 +79,7 @@ def _traffic(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def _metrics(spark: SparkSession, args: argparse.Namespace) -> None:
-    points = spark.read.parquet(args.points)
+    points = sources.read_points(spark, args.points)
     broker_metrics.statistics(points, hours=args.hours).show(truncate=False)
     broker_metrics.rates(points, minutes=args.minutes).show(truncate=False)
 
@@ -118,6 +125,7 @@ def parser() -> argparse.ArgumentParser:
     collect.set_defaults(run=_collect, format="parquet")
     collect.add_argument("--scrapes", required=True)
     collect.add_argument("--points", required=True)
+    collect.add_argument("--checkpoint", help="where it is kept which scrapes are taken")
 
     experiment = commands.add_parser("traffic", help="summarise one traffic experiment")
     experiment.set_defaults(run=_traffic, format="parquet")

@@ -18,7 +18,6 @@ BROADCAST_GROUPS = 20_000
 # Points read from a sketch, and its accuracy (one over the rank error).
 _GRID = 500
 _ACCURACY = 2_000
-_MAX_ROUNDS = 8
 
 
 def clean(value: str | Column) -> Column:
@@ -131,17 +130,27 @@ def _narrowed(
         *[F.lit(float("-inf")).alias(f"_lo_{q}") for q in names],
         *[F.lit(float("inf")).alias(f"_hi_{q}") for q in names],
     )
-    for turn in range(_MAX_ROUNDS):
+    turn = 0
+    while True:
         joined = _with_ranges(data, ranges, keys, groups)
         # All ranges are still the same in the first turn: one sketch serves them.
         ranges = _tighter(joined, keys, names, direct_rows, accuracy, shared=turn == 0).checkpoint()
+        turn += 1
         wide = [
             (F.col(f"_held_{q}") > direct_rows) & (F.col(f"_lo_{q}") < F.col(f"_hi_{q}"))
             for q in names
         ]
         if ranges.filter(reduce(lambda a, b: a | b, wide)).isEmpty():
             break
-    return _ranked(_with_ranges(data, ranges, keys, groups), keys, names)
+    found = _ranked(_with_ranges(data, ranges, keys, groups), keys, names).checkpoint()
+    missed = found.filter("_missed")
+    if missed.isEmpty():
+        return found.drop("_missed")
+    # A range that lost its rank starts anew from the whole group, with a finer sketch.
+    again = _join(data, _sized(missed.select(*keys), groups), keys, "left_semi")
+    rest = _join(sizes, _sized(missed.select(*keys), groups), keys, "left_semi")
+    wider = _narrowed(again, rest, keys, quantiles, groups, direct_rows, 2 * accuracy)
+    return found.filter("not _missed").drop("_missed").unionByName(wider)
 
 
 def _sized(small: DataFrame, groups: int) -> DataFrame:
@@ -260,14 +269,14 @@ def _ranked(joined: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
             F.max("_upto").alias("_all"),
         )
     )
-    # The sketch's error bound puts the rank inside; were it not, nothing is returned.
+    # The sketch's error bound puts the rank inside; were it not, the group is marked.
     held = (low >= F.col("_under")) & (high < F.col("_all"))
     part = F.col("_rank") - low
     between = F.when(part == 0, F.col("_a")).otherwise(
         (high - F.col("_rank")) * F.col("_a") + part * F.col("_b")
     )
-    missed = F.raise_error(F.lit("a quantile lies outside its range")).cast("double")
-    values = ends.select(*keys, "_q", F.when(held, between).otherwise(missed).alias("_quantile"))
+    values = ends.select(*keys, "_q", between.alias("_quantile"), (~held).alias("_out"))
     return values.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_q") == q, F.col("_quantile"))).alias(q) for q in names]
+        *[F.max(F.when(F.col("_q") == q, F.col("_quantile"))).alias(q) for q in names],
+        F.max("_out").alias("_missed"),
     )

@@ -71,9 +71,13 @@ def metric_stats(
     value: str = "_value",
     time: str = TIME,
     tie: str | None = None,
+    unique: bool = False,
     names: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Statistics of every metric in one pass; a metric without rows has no row."""
+    """Statistics of every metric in one pass; a metric without rows has no row.
+
+    ``tie`` and ``unique`` as in ``first_last``.
+    """
     if names is not None:
         df = df.filter(F.col(keys[0]).isin(*names))
     number = quantiles.clean(value)
@@ -85,7 +89,7 @@ def metric_stats(
             F.max(number).alias("max"),
             F.stddev_samp(number).alias("std"),
             F.count("*").alias("count"),
-            F.max_by(value, _moment(time, tie)).alias("last_value"),
+            F.max_by(value, _moment(time, tie, value, unique)).alias("last_value"),
             F.min(time).alias("_first"),
             F.max(time).alias("_last"),
         )
@@ -111,14 +115,16 @@ def first_last(
     value: str = "_value",
     time: str = TIME,
     tie: str | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """First and last value of every series, with their times, in one pass.
 
-    Points are unique per series and time, as the point store keeps them. For
-    input that is not, ``tie`` names a column that orders equal times; it costs
-    a sort, because Spark's hash aggregate cannot hold a compound key.
+    ``tie`` names a column that orders equal times; without it the value does,
+    so row order never matters. That costs a sort, because Spark's hash aggregate
+    cannot hold a compound key. ``unique`` says that no series has a time twice,
+    as in points read from the point store, and saves it.
     """
-    moment = _moment(time, tie)
+    moment = _moment(time, tie, value, unique)
     return df.groupBy(*keys).agg(
         F.min(time).alias("first_time"),
         F.min_by(value, moment).alias("first_value"),
@@ -134,12 +140,13 @@ def rate_of_change(
     value: str = "_value",
     time: str = TIME,
     tie: str | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Change per second between the first and last value; zero without a time span.
 
     A counter that was reset in between is not corrected.
     """
-    ends = first_last(df, keys=keys, value=value, time=time, tie=tie)
+    ends = first_last(df, keys=keys, value=value, time=time, tie=tie, unique=unique)
     seconds = (
         F.unix_micros(F.col("last_time").cast("timestamp"))
         - F.unix_micros(F.col("first_time").cast("timestamp"))
@@ -154,5 +161,5 @@ def rate_text(rate: str | Column = "rate") -> Column:
     return F.format_string("%.2f", rate)
 
 
-def _moment(time: str, tie: str | None) -> Column:
-    return F.struct(time, tie) if tie else F.col(time)
+def _moment(time: str, tie: str | None, value: str, unique: bool) -> Column:
+    return F.col(time) if unique else F.struct(time, tie or value)

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from sensorlake.functions import plan, times
 
 TIME = "_time"
+#: When a stored point was written; the last write of a point counts.
+WRITTEN = "_written"
 
 
 def range_scan(
@@ -51,11 +53,30 @@ def recent(
 
 
 def older_than(
-    df: DataFrame, *, as_of: times.Instant = None, time: str = TIME, **age: int
+    df: DataFrame,
+    *,
+    as_of: times.Instant = None,
+    time: str = TIME,
+    date: str | None = None,
+    **age: int,
 ) -> DataFrame:
     """Rows at least ``age`` old at ``as_of`` (default now)."""
     limit = times.column_instant(df, time, as_of) - times.interval(**age)
-    return df.filter(_column(time) <= limit)
+    result = df.filter(_column(time) <= limit)
+    return result.filter(F.col(date) <= limit.cast("date")) if date else result
+
+
+def latest(points: DataFrame) -> DataFrame:
+    """One row for each point: the one written last. Points without a time of writing stay as they are.
+
+    A write holds a point once, so times of writing of one point differ and the
+    grouping is a hash aggregate.
+    """
+    if WRITTEN not in points.columns:
+        return points
+    keys = [name for name in points.columns if name not in ("_value", WRITTEN)]
+    found = points.groupBy(*keys).agg(F.max_by("_value", WRITTEN).alias("_value"))
+    return found.select(*[_column(name) for name in points.columns if name != WRITTEN])
 
 
 def older_than_count(
@@ -117,9 +138,11 @@ def pivot(
     """One row per key with a column for each of ``values`` found in ``names``.
 
     One shuffle on the keys after a map-side combine. When a key has several
-    rows of one name, the one last in ``order`` is kept; without ``order`` the
-    keys are taken to be unique.
+    rows of one name, the one last in ``order`` is kept, and without ``order`` the
+    one last written, where that is known, and else the largest value. ``order``
+    must tell the rows of a cell apart, as the time of writing does.
     """
+    order = order or (WRITTEN if WRITTEN in df.columns else None)
     cells = []
     for name in values:
         hit = F.col(names) == name
@@ -136,18 +159,33 @@ def pivot_found(
     *,
     value: str = "_value",
     order: str | None = None,
-    most: int = 2_000,
 ) -> DataFrame:
-    """Pivot on the names present; an error when there are more than ``most``.
+    """Pivot on the names present, whatever their number.
 
-    Finding the names is a job of its own over that one column.
+    Finding the names is a job of its own over that one column. They become
+    columns of the plan, so they must fit it; ``pivot_map`` has no such limit.
     """
-    found = df.select(names).filter(F.col(names).isNotNull()).distinct().limit(most + 1).collect()
-    if len(found) > most:
-        raise ValueError(f"more than {most} names in {names}: give the names to pivot")
+    found = df.select(names).filter(F.col(names).isNotNull()).distinct().collect()
     return pivot(df, keys, names, sorted(row[0] for row in found), value=value, order=order)
 
 
+def pivot_map(
+    df: DataFrame,
+    keys: Sequence[str],
+    names: str,
+    *,
+    value: str = "_value",
+    order: str | None = None,
+) -> DataFrame:
+    """One row per key with a map of name to value, for names without a bound."""
+    order = order or (WRITTEN if WRITTEN in df.columns else None)
+    rank = F.struct(order, value) if order else F.col(value)
+    cells = df.filter(F.col(names).isNotNull()).groupBy(*keys, names)
+    cells = cells.agg(F.max_by(value, rank).alias(value))
+    entries = F.sort_array(F.collect_list(F.struct(names, value)))
+    return cells.groupBy(*keys).agg(F.map_from_entries(entries).alias("values"))
+
+
 def union_series(tables: Sequence[DataFrame]) -> DataFrame:
     """All rows of several tables; a column a table lacks is null there."""
     first, *rest = tables

@@ -43,7 +43,7 @@ def recent_metrics(
     order: str | None = None,
 ) -> DataFrame:
     """One column per metric over the last hours; the names found unless given."""
-    rows = series.recent(_stored(points), as_of=as_of, hours=hours)
+    rows = _recent(points, as_of=as_of, hours=hours)
     if names is None:
         return series.pivot_found(rows, keys, "metric", order=order)
     return series.pivot(rows, keys, "metric", names, order=order)
@@ -55,9 +55,11 @@ def statistics(
     names: Sequence[str] | None = REPORTED,
     hours: int = 1,
     as_of: times.Instant = None,
+    unique: bool = False,
 ) -> DataFrame:
-    rows = series.recent(_stored(points), as_of=as_of, hours=hours)
-    return aggregates.metric_stats(rows, names=names)
+    """Statistics of each metric; ``unique`` as in ``first_last``, and known of stored points."""
+    rows = _recent(points, as_of=as_of, hours=hours)
+    return aggregates.metric_stats(rows, names=names, unique=unique or _unique(points))
 
 
 def rates(
@@ -66,13 +68,22 @@ def rates(
     names: Sequence[str] | None = (RATED,),
     minutes: int = 5,
     as_of: times.Instant = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Change per second of each metric over the last minutes, also as text."""
-    rows = series.recent(_stored(points), as_of=as_of, mins=minutes)
+    rows = _recent(points, as_of=as_of, mins=minutes)
     if names is not None:
         rows = rows.filter(F.col("metric").isin(*names))
-    return aggregates.rate_of_change(rows).withColumn("rate_text", aggregates.rate_text())
+    changes = aggregates.rate_of_change(rows, unique=unique or _unique(points))
+    return changes.withColumn("rate_text", aggregates.rate_text())
 
 
-def _stored(points: DataFrame) -> DataFrame:
-    return series.series_filter(points, measurement=MEASUREMENT)
+def _recent(points: DataFrame, *, as_of: times.Instant, **span: int) -> DataFrame:
+    """Points of the span, each as written last; of stored points only its dates are read."""
+    rows = series.series_filter(points, measurement=MEASUREMENT)
+    date = "date" if "date" in points.columns else None
+    return series.latest(series.recent(rows, as_of=as_of, date=date, **span))
+
+
+def _unique(points: DataFrame) -> bool:
+    return series.WRITTEN in points.columns

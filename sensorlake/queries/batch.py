@@ -26,7 +26,7 @@ from sensorlake.queries import inputs
 from sensorlake.queries.inputs import events, naive, rounded
 from sensorlake.session import work_dir
 from sensorlake.sinks import tables as sinks
-from sensorlake.sources import landed, objects
+from sensorlake.sources import landed
 from sensorlake.sources import tables as sources
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,8 +77,14 @@ def points_store(spark, sf_dir):
 
 
 @query
-def object_inventory(spark, sf_dir):
-    return naive(objects.object_inventory(inputs.prepare(spark), sf_dir))
+def points_last_write(spark, sf_dir):
+    """Points written twice under names that look like numbers; the second write counts."""
+    path = work_dir(inputs.prepare(spark), "rewritten")
+    name = F.when(F.col("_field") == "rx_mibps", "007").otherwise("7")
+    rows = inputs.points(events(spark, sf_dir)).withColumn("_measurement", name)
+    for more in (0, 1):
+        sinks.append_points(rows.withColumn("_value", F.col("_value") + more), path, tags=["host", "interfaces"])
+    return naive(sources.points_scan(spark, path, start=START, stop=STOP, measurement="007"))
 
 
 @query
@@ -199,7 +205,7 @@ def metric_name_filter(spark, sf_dir):
     lines = inputs.metric_lines(events(spark, sf_dir))
     samples = metrics.parse_lines(lines, F.col("ts"), keep=["event_id"])
     kept = metrics.name_filter(samples)
-    return kept.filter(~F.isnan("value")).select(
+    return kept.select(
         "event_id", "metric", "value", metrics.row_text().alias("row_text")
     )
 
@@ -365,14 +371,14 @@ def traffic_experiment(spark, sf_dir):
 @query
 def metric_stats(spark, sf_dir):
     points = inputs.metric_points(events(spark, sf_dir))
-    stats = broker_metrics.statistics(points, hours=720, as_of=AS_OF)
+    stats = broker_metrics.statistics(points, hours=720, as_of=AS_OF, unique=True)
     return rounded(stats, "mean", "std")
 
 
 @query
 def rate_of_change(spark, sf_dir):
     rows = events(spark, sf_dir).withColumnsRenamed({"ts": "_time", "value": "_value"})
-    rates = aggregates.rate_of_change(rows, keys=["user_id", "event_type"])
+    rates = aggregates.rate_of_change(rows, keys=["user_id", "event_type"], unique=True)
     return rates.select(
         "user_id",
         "event_type",
@@ -384,17 +390,24 @@ def rate_of_change(spark, sf_dir):
 @query
 def metric_rates(spark, sf_dir):
     points = inputs.metric_points(events(spark, sf_dir))
-    rates = broker_metrics.rates(points, names=None, minutes=ALL_MINUTES, as_of=AS_OF)
+    rates = broker_metrics.rates(points, names=None, minutes=ALL_MINUTES, as_of=AS_OF, unique=True)
     return rates.select("metric", F.round("rate", 9).alias("rate"), "rate_text")
 
 
 @query
 def first_last(spark, sf_dir):
     return aggregates.first_last(
-        events(spark, sf_dir), keys=["user_id", "event_type"], value="value", time="ts"
+        events(spark, sf_dir), keys=["user_id", "event_type"], value="value", time="ts", unique=True
     )
 
 
+@query
+def equal_times(spark, sf_dir):
+    """First and last of series with many rows at one time: the value settles which."""
+    days = events(spark, sf_dir).withColumn("day", F.to_date("ts"))
+    return aggregates.first_last(days, keys=["event_type"], value="value", time="day")
+
+
 # Inventories
 
 

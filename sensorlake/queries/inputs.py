@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_k(rows: DataFrame) -> DataFrame:
     """Events with the number in ``props``."""
-    return rows.withColumn("k", F.regexp_extract("props", r"(\d+)", 1).cast("int"))
+    return rows.withColumn("k", F.regexp_extract("props", r"(\d+)", 1).try_cast("int"))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,14 @@ made of, not from the text, so it shares no parsing with the operators.
 
 from __future__ import annotations
 
-from sensorlake.queries.inputs import METRIC_NAME
+
+# The metric that each type of event stands for, written out here again.
+_METRIC_NAME = """CASE event_type
+    WHEN 'click' THEN 'kafka_server_brokertopicmetrics_messagesin_total'
+    WHEN 'view' THEN 'kafka_server_brokertopicmetrics_bytesin_total'
+    WHEN 'purchase' THEN 'kafka_server_replicamanager_partitioncount'
+    WHEN 'signup' THEN 'kafka_server_replicamanager_underreplicatedpartitions'
+    ELSE 'jvm_threads_current' END"""
 
 _K = "CAST(regexp_extract(props, '[0-9]+') AS INTEGER)"
 
@@ -35,12 +42,12 @@ wide AS (SELECT _time, host, interfaces,
                 max(CASE WHEN _field = 'tx_mibps' THEN _value END) AS tx_mibps
          FROM latest WHERE _measurement = 'network_traffic' GROUP BY ALL)"""
 
-_METRICS = f"""m AS (SELECT ts AS _time, {METRIC_NAME} AS metric, value AS _value,
+_METRICS = f"""m AS (SELECT ts AS _time, {_METRIC_NAME} AS metric, value AS _value,
                             event_id AS seq FROM events)"""
 
 _LINES = f"""{_E}, named AS (
     SELECT event_id, ts, value, k,
-           {METRIC_NAME}
+           {_METRIC_NAME}
            || CASE WHEN event_type = 'view'
                    THEN '{{topic="t ' || CAST(user_id % 3 AS VARCHAR) || '"}}' ELSE '' END AS metric
     FROM e),
@@ -169,9 +176,19 @@ SQL: dict[str, str] = {
     "lake_scan": "SELECT * FROM events",
     "series_range_scan": f"""WITH {_POINTS} SELECT * FROM points
         WHERE _time >= TIMESTAMP '2024-01-05' AND _time < TIMESTAMP '2024-01-25'""",
-    "points_store": f"""WITH {_POINTS} SELECT * FROM points
+    "points_store": f"""WITH {_POINTS} SELECT * EXCLUDE (_value), max(_value) AS _value FROM points
+        WHERE _time >= TIMESTAMP '2024-01-05' AND _time < TIMESTAMP '2024-01-25'
+          AND _measurement = 'network_traffic' AND _field = 'rx_mibps' GROUP BY ALL""",
+    "equal_times": """WITH d AS (SELECT *, CAST(ts AS DATE) AS day FROM events),
+        e AS (SELECT event_type, min(day) AS first_time, max(day) AS last_time FROM d GROUP BY 1)
+        SELECT event_type, first_time, last_time,
+            min(value) FILTER (day = first_time) AS first_value,
+            max(value) FILTER (day = last_time) AS last_value
+        FROM d JOIN e USING (event_type) GROUP BY ALL""",
+    "points_last_write": f"""WITH {_POINTS} SELECT * EXCLUDE (_value, _measurement),
+        '007' AS _measurement, max(_value) + 1 AS _value FROM points
         WHERE _time >= TIMESTAMP '2024-01-05' AND _time < TIMESTAMP '2024-01-25'
-          AND _measurement = 'network_traffic' AND _field = 'rx_mibps'""",
+          AND _field = 'rx_mibps' GROUP BY ALL""",
     "schema_report": """SELECT * FROM (VALUES (0, 'event_id', 'bigint'),
         (1, 'ts', 'timestamp_ntz'), (2, 'user_id', 'bigint'), (3, 'event_type', 'string'),
         (4, 'value', 'double'), (5, 'props', 'string')) c(position, column_name, data_type),
@@ -357,11 +374,15 @@ SQL: dict[str, str] = {
         FROM s WHERE k NOT IN (1, 2)
         UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL,
             CASE k WHEN 1 THEN 'malformed' ELSE 'empty' END FROM s WHERE k IN (1, 2)""",
+    "stream_all_writers": f"""WITH {_DETECTIONS}
+        SELECT id, type, round(confidence, 6) AS confidence, writer FROM d,
+            (VALUES ('batch 1'), ('stream 1'), ('stream 2'), ('batch 2')) w(writer)
+        WHERE confidence >= 0.9""",
     "stream_restart": f"""WITH {_DETECTIONS}
         SELECT id, type, round(confidence, 6) AS confidence FROM d WHERE confidence >= 0""",
     "stream_fan_out": f"""WITH {_DETECTIONS} SELECT type, count(*) AS in_table,
         count(*) AS in_second FROM d WHERE confidence >= 0.9 GROUP BY type""",
-    "stream_batched_export": "SELECT count(*) AS records, TRUE AS within_limit FROM events",
+    "stream_batched_export": """SELECT event_id AS "offset", 'detections' AS topic, TRUE AS within_limit FROM events""",
     "stream_log_source": f"""WITH {_LOG_LINES} SELECT CASE WHEN hit THEN 'stdout' END AS stream,
         CASE WHEN hit THEN 'F' END AS tag, count(*) AS lines,
         CAST(sum(CASE WHEN hit THEN length(piece) END) AS BIGINT) AS message_chars,

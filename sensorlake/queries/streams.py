@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sensorlake import schemas
@@ -12,6 +12,7 @@ from sensorlake.queries.inputs import naive, rounded
 from sensorlake.session import work_dir
 from sensorlake.sinks import tables as sinks
 from sensorlake.sources import landed, messages
+from sensorlake.sources import tables as sources
 from sensorlake.streaming import jobs
 
 QUERIES: dict[str, Query] = {}
@@ -23,9 +24,9 @@ def query(function: Query) -> Query:
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream; new files beside it would be new rows."""
+    """The one events table as a stream; the brackets make its path a pattern."""
     schema = inputs.events(spark, sf_dir).schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
 
 
 def _finish(*queries) -> None:
@@ -39,7 +40,7 @@ def stream_message_source(spark, sf_dir):
     inputs.detection_messages(inputs.events(spark, sf_dir)).write.parquet(f"{base}/landed")
     source = messages.file_stream(spark, f"{base}/landed", max_files=2)
     _finish(jobs.start_append(source, f"{base}/table", f"{base}/marks", available_now=True))
-    rows = naive(spark.read.parquet(f"{base}/table"))
+    rows = naive(sources.lake_scan(spark, f"{base}/table"))
     return rows.select(
         "topic",
         "offset",
@@ -55,7 +56,23 @@ def stream_detections_append(spark, sf_dir):
     sinks.ensure_table(spark, f"{base}/table", schemas.DETECTIONS)
     rows = jobs.detections(inputs.detection_messages(event_stream(spark, sf_dir)))
     _finish(jobs.start_append(rows, f"{base}/table", f"{base}/marks", available_now=True))
-    return rounded(spark.read.parquet(f"{base}/table"), "confidence")
+    return rounded(sources.lake_scan(spark, f"{base}/table"), "confidence")
+
+
+@query
+def stream_all_writers(spark, sf_dir):
+    """A batch append, a stream, a second stream with a checkpoint of its own, a batch append."""
+    base = work_dir(inputs.prepare(spark), "writers")
+    table = f"{base}/table"
+    landed_messages = inputs.detection_messages(inputs.events(spark, sf_dir))
+    rows = jobs.detections(landed_messages).withColumn("writer", F.lit("batch 1"))
+    sinks.append(rows, table)
+    for turn in (1, 2):
+        stream = jobs.detections(inputs.detection_messages(event_stream(spark, sf_dir)))
+        stream = stream.withColumn("writer", F.lit(f"stream {turn}"))
+        _finish(jobs.start_append(stream, table, f"{base}/marks{turn}", available_now=True))
+    sinks.append(rows.withColumn("writer", F.lit("batch 2")), table)
+    return rounded(sources.lake_scan(spark, table), "confidence")
 
 
 @query
@@ -79,10 +96,13 @@ def stream_sensor_append(spark, sf_dir):
 @query
 def stream_restart(spark, sf_dir):
     base = work_dir(inputs.prepare(spark), "restart")
-    for _ in range(2):
-        rows = jobs.detections(inputs.detection_messages(event_stream(spark, sf_dir)), minimum=0.0)
+    envelopes = inputs.detection_messages(inputs.events(spark, sf_dir))
+    for part in range(2):
+        half = envelopes.filter(F.pmod("offset", F.lit(2)) == part)
+        half.write.mode("append").parquet(f"{base}/landed")
+        rows = jobs.detections(messages.file_stream(spark, f"{base}/landed"), minimum=0.0)
         _finish(jobs.start_append(rows, f"{base}/table", f"{base}/marks", available_now=True))
-    return rounded(spark.read.parquet(f"{base}/table"), "confidence")
+    return rounded(sources.lake_scan(spark, f"{base}/table"), "confidence")
 
 
 @query
@@ -107,13 +127,14 @@ def stream_fan_out(spark, sf_dir):
 @query
 def stream_batched_export(spark, sf_dir):
     base = work_dir(inputs.prepare(spark), "export")
-    rows = inputs.detection_messages(event_stream(spark, sf_dir)).select("offset", "topic")
+    envelopes = inputs.detection_messages(inputs.events(spark, sf_dir))
+    envelopes.write.option("maxRecordsPerFile", jobs.EXPORT_RECORDS).parquet(f"{base}/landed")
+    rows = messages.file_stream(spark, f"{base}/landed", max_files=1).select("offset", "topic")
     _finish(jobs.start_export(rows, f"{base}/table", f"{base}/marks", available_now=True))
-    files = spark.read.parquet(f"{base}/table").groupBy(F.col("_metadata.file_path").alias("path"))
-    sizes = files.agg(F.count("*").alias("n"))
-    return sizes.agg(
-        F.sum("n").alias("records"), (F.max("n") <= jobs.EXPORT_RECORDS).alias("within_limit")
-    )
+    batch = Window.partitionBy("query_id", "batch_id")
+    stored = spark.read.parquet(f"{base}/table")
+    within = (F.count("*").over(batch) <= jobs.EXPORT_RECORDS).alias("within_limit")
+    return stored.select("offset", "topic", within)
 
 
 @query
@@ -124,7 +145,7 @@ def stream_log_source(spark, sf_dir):
     lines.select(F.translate("value", "\r", " ").alias("value")).write.text(f"{base}/landed")
     rows = landed.log_stream(spark, f"{base}/landed")
     _finish(jobs.start_append(rows, f"{base}/table", f"{base}/marks", available_now=True))
-    stored = spark.read.parquet(f"{base}/table")
+    stored = sources.lake_scan(spark, f"{base}/table")
     return stored.groupBy("stream", "tag").agg(
         F.count("*").alias("lines"),
         F.sum(F.length("message")).alias("message_chars"),

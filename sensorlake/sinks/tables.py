@@ -1,7 +1,14 @@
-"""Batch writers."""
+"""Batch writers.
+
+A table of plain files is a set of batches: each lies in folders named by the
+writer and the number of the batch, below the table's own partitions. Streams
+and batch appends write alike, so every reader sees what all of them wrote.
+"""
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sensorlake.operators import decode
-from sensorlake.sources.tables import connector
+from sensorlake.operators.series import WRITTEN
+from sensorlake.sources.tables import BATCH_COLUMNS, connector
 
 POINT_PARTITIONS = ("_measurement", "date")
 
@@ -24,12 +32,58 @@ def ensure_table(
 ) -> None:
     """Create an empty table unless something is stored at the path already.
 
-    With ``name`` the table is also entered in the catalog.
+    With ``name`` the table is also entered in the catalog; call again to let
+    the catalog see batches that were written since.
     """
     with connector(fmt):
         spark.createDataFrame([], schema).write.format(fmt).mode("ignore").save(path)
     if name and not spark.catalog.tableExists(name):
         spark.catalog.createTable(name, path=path, source=fmt)
+    if name and fmt != "delta" and any(c.isPartition for c in spark.catalog.listColumns(name)):
+        spark.catalog.recoverPartitions(name)
+
+
+def check_layout(spark: SparkSession, path: str, fmt: str = "parquet") -> None:
+    """Raise an error where rows at the path would hide from readers of batches, or hide batches.
+
+    That is a table of the file sink, whose log names the only files that count,
+    and files with rows outside of any batch folder.
+    """
+    if fmt == "delta":
+        return
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(place):
+        return
+    found = [(entry.getPath().getName(), entry.isFile()) for entry in system.listStatus(place)]
+    if any(name == "_spark_metadata" for name, _ in found):
+        raise ValueError(f"{path} is a table of the file sink; copy its rows to a new table")
+    loose = [f"{path}/{name}" for name, is_file in found if is_file and name[0] not in "._"]
+    if loose and not spark.read.format(fmt).load(loose).isEmpty():
+        raise ValueError(f"{path} holds files with rows outside of batch folders; append them to a new table")
+
+
+def write_batch(
+    rows: DataFrame,
+    path: str,
+    query_id: str,
+    batch_id: int,
+    *,
+    fmt: str = "parquet",
+    partition_by: Sequence[str] = (),
+) -> None:
+    """Write one batch of a table of files; writing it again replaces it and nothing else.
+
+    Rows are gathered by partition first, so a batch makes a file for each
+    partition it touches and not one for each task and partition.
+    """
+    plain = T.StructType([field for field in rows.schema.fields if field.name not in partition_by])
+    ensure_table(rows.sparkSession, path, plain, fmt=fmt)
+    if partition_by:
+        rows = rows.hint("rebalance", *partition_by)
+    marked = rows.withColumns({"query_id": F.lit(query_id), "batch_id": F.lit(batch_id).cast("long")})
+    writer = marked.write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*partition_by, *BATCH_COLUMNS).save(path)
 
 
 def append(
@@ -40,22 +94,32 @@ def append(
     A Delta table merges the columns on write. Parquet files keep their own
     columns and ``lake_scan(merge_schema=True)`` merges them on read.
     """
-    writer = df.write.format(fmt).mode("append")
-    if fmt == "delta":
-        writer = writer.option("mergeSchema", "true")
+    if fmt != "delta":
+        check_layout(df.sparkSession, path, fmt)
+        write_batch(df, path, f"append-{uuid.uuid4()}", 0, fmt=fmt, partition_by=partition_by)
+        return
+    writer = df.write.format(fmt).mode("append").option("mergeSchema", "true")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     with connector(fmt):
         writer.save(path)
 
 
-def append_points(df: DataFrame, path: str, *, tags: Sequence[str] = ("metric",)) -> None:
+def append_points(
+    df: DataFrame, path: str, *, tags: Sequence[str] = ("metric",), order: str | None = None
+) -> None:
     """Append points, partitioned by measurement and date, sorted by tag and time.
 
-    The rebalance gathers each partition's rows into few files; AQE cuts a
-    partition that is too large into several, so a hot day spreads over tasks.
+    Points of one series and time are one point: of those in ``df`` the last in
+    ``order`` (the largest value, without it) is written, and the time of the
+    write stands beside it, by which readers take the last one written. The
+    rebalance gathers each partition's rows into few files; AQE cuts a partition
+    that is too large into several, so a hot day spreads over tasks.
     """
-    dated = df.withColumn("date", F.to_date("_time"))
+    keys = [name for name in df.columns if name not in ("_value", order)]
+    latest = F.max_by("_value", F.struct(order, "_value")) if order else F.max("_value")
+    points = df.groupBy(*keys).agg(latest.alias("_value"))
+    dated = points.withColumns({"date": F.to_date("_time"), WRITTEN: F.lit(time.time_ns() // 1000)})
     (
         dated.hint("rebalance", *POINT_PARTITIONS)
         .sortWithinPartitions(*POINT_PARTITIONS, *tags, "_time")

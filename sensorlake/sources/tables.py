@@ -13,6 +13,9 @@ from pyspark.sql import types as T
 from sensorlake import schemas
 from sensorlake.operators import series
 
+# Bookkeeping columns of tables written batch by batch.
+BATCH_COLUMNS = ("query_id", "batch_id")
+
 
 def lake_scan(
     spark: SparkSession,
@@ -23,7 +26,7 @@ def lake_scan(
     schema: T.StructType | None = None,
     merge_schema: bool = False,
 ) -> DataFrame:
-    """A table at a path.
+    """A table at a path, without the bookkeeping columns of its batches.
 
     ``merge_schema`` reads every file footer to find all columns; give
     ``schema`` instead where the columns are known.
@@ -34,6 +37,8 @@ def lake_scan(
     if merge_schema:
         reader = reader.option("mergeSchema", "true")
     df = load(reader, fmt, path)
+    if set(BATCH_COLUMNS) <= set(df.columns):
+        df = df.drop(*BATCH_COLUMNS)
     return df.select(*[f"`{name}`" for name in columns]) if columns else df
 
 
@@ -55,6 +60,14 @@ def connector(fmt: str) -> Iterator[None]:
         raise
 
 
+def read_points(spark: SparkSession, path: str) -> DataFrame:
+    """All stored points, repeated ones too; names and dates of partitions keep their types."""
+    known = spark.read.parquet(path).schema
+    types = {"_measurement": T.StringType(), "date": T.DateType()}
+    schema = T.StructType([T.StructField(f.name, types.get(f.name, f.dataType)) for f in known.fields])
+    return spark.read.schema(schema).parquet(path)
+
+
 def points_scan(
     spark: SparkSession,
     path: str,
@@ -65,11 +78,14 @@ def points_scan(
     fields: Sequence[str] | None = None,
     tags: Mapping[str, str | None] | None = None,
 ) -> DataFrame:
-    """Points of a time range; only the measurement's and the range's partitions are read."""
-    points = spark.read.parquet(path)
+    """Points of a time range; only the measurement's and the range's partitions are read.
+
+    Of points with the same series and time the last one written counts.
+    """
+    points = read_points(spark, path)
     points = series.range_scan(points, start, stop, date="date")
     points = series.series_filter(points, measurement=measurement, fields=fields, tags=tags)
-    return points.drop("date")
+    return series.latest(points).drop("date")
 
 
 def read_results(

@@ -17,6 +17,8 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from sensorlake import schemas
 from sensorlake.operators import decode
+from sensorlake.sinks import tables as sinks
+from sensorlake.sources.tables import BATCH_COLUMNS
 
 log = logging.getLogger(__name__)
 
@@ -24,9 +26,6 @@ EVERY = "1 second"
 # Fixed value: records an export batch may hold.
 EXPORT_RECORDS = 1024
 
-# Bookkeeping columns of tables written batch by batch.
-BATCH_COLUMNS = ("query_id", "batch_id")
-
 
 @dataclass(frozen=True)
 class BatchReport:
@@ -53,13 +52,18 @@ def start_append(
     every: str = EVERY,
     available_now: bool = False,
 ) -> StreamingQuery:
-    """Append a stream to a table. The file sink's own log makes each batch count once."""
+    """Append a stream to a table, which other streams and batch appends may write too.
+
+    A batch that is run again replaces what it wrote before. A query with a
+    fresh checkpoint is another writer, whose rows are added.
+    """
     _check_apart(path, checkpoint)
-    writer = rows.writeStream.outputMode("append").format(fmt)
-    writer = writer.option("checkpointLocation", checkpoint).option("path", path)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    return _trigger(writer, every, available_now).start()
+    sinks.check_layout(rows.sparkSession, path, fmt)
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        _write_batch(batch, path, fmt, _query_id(batch), batch_id, partition_by)
+
+    return _foreach(rows, store, checkpoint, every, available_now)
 
 
 def start_debug(
@@ -96,6 +100,8 @@ def start_sensor_append(
     A batch that is run again replaces what it wrote before.
     """
     _check_apart(path, checkpoint)
+    for table in filter(None, (path, rejects)):
+        sinks.check_layout(messages.sparkSession, table, fmt)
 
     def store(batch: DataFrame, batch_id: int) -> None:
         query_id = _query_id(batch)
@@ -160,12 +166,21 @@ def start_export(
     every: str = EVERY,
     available_now: bool = False,
 ) -> StreamingQuery:
-    """Flush what has arrived every second, in files of at most ``max_records`` rows."""
+    """Flush what has arrived every second, or ``max_records`` rows of it.
+
+    A flush is a batch. The source bounds it (``max_offsets`` of a topic,
+    ``max_files`` of files that hold no more); a batch above the bound is an
+    error that says so, and never a loss. Files are as large as the batches.
+    """
     _check_apart(path, checkpoint)
-    writer = rows.writeStream.outputMode("append").format(fmt)
-    writer = writer.option("checkpointLocation", checkpoint).option("path", path)
-    writer = writer.option("maxRecordsPerFile", max_records)
-    return _trigger(writer, every, available_now).start()
+    sinks.check_layout(rows.sparkSession, path, fmt)
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        stored = _write_batch(batch.coalesce(1), path, fmt, _query_id(batch), batch_id)
+        if stored > max_records:
+            raise ValueError(f"a batch has {stored} rows, above {max_records}: bound it at the source")
+
+    return _foreach(rows, store, checkpoint, every, available_now)
 
 
 def await_any(spark: SparkSession) -> None:
@@ -198,9 +213,10 @@ def _write_batch(
 ) -> int:
     """Write one micro-batch so that writing it twice changes nothing; count its rows.
 
-    Delta drops a repeated batch by its transaction mark. Plain files go to a
-    folder of their own that a repeat overwrites. The query id, kept in the
-    checkpoint, separates the batches of a query started afresh.
+    Delta drops a repeated batch by its transaction mark. Plain files go to
+    folders of their own, below those of the partitions, that a repeat
+    overwrites. The query id, kept in the checkpoint, separates the batches of a
+    query started afresh.
     """
     counted = Observation()
     rows = rows.observe(counted, F.count(F.lit(1)).alias("rows"))
@@ -212,13 +228,11 @@ def _write_batch(
             .option("txnAppId", f"{query_id}:{path}")
             .option("txnVersion", batch_id)
         )
-        target = path
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        writer.save(path)
     else:
-        writer = rows.write.format(fmt).mode("overwrite")
-        target = f"{path}/query_id={query_id}/batch_id={batch_id}"
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.save(target)
+        sinks.write_batch(rows, path, query_id, batch_id, fmt=fmt, partition_by=partition_by)
     return int(counted.get["rows"])
 
 

@@ -92,7 +92,7 @@ def test_equal_times_have_no_rate_and_ties_can_be_ordered(spark):
 
 def test_unique_points_use_hash_aggregation(spark):
     df = metric_rows(spark, (0, "a", 1.0))
-    plan = aggregates.first_last(df)._jdf.queryExecution().executedPlan().toString()
+    plan = aggregates.first_last(df, unique=True)._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan and "SortAggregate" not in plan
 
 

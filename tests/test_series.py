@@ -83,8 +83,22 @@ def test_pivot_shuffles_once(points):
 def test_pivot_on_the_names_found(points):
     rows = series.pivot_found(points, ["_time"], "_field", order="seq")
     assert rows.columns == ["_time", "drops", "rx_mibps", "tx_mibps"]
-    with pytest.raises(ValueError, match="more than 2 names"):
-        series.pivot_found(points, ["_time"], "_field", most=2)
+
+
+def test_pivots_have_no_bound_on_names(spark):
+    rows = spark.range(3_000).selectExpr("0 AS k", "concat('n', id) AS name", "double(id) AS _value")
+    found = series.pivot_found(rows, ["k"], "name")
+    assert len(found.columns) == 3_001 and found.first()["n2999"] == 2999.0
+    mapped = series.pivot_map(rows, ["k"], "name").first()["values"]
+    assert len(mapped) == 3_000 and mapped["n7"] == 7.0
+
+
+def test_the_last_write_of_a_point_counts(spark):
+    rows = spark.createDataFrame(
+        [(1, "a", 9.0, 1), (1, "a", 2.0, 2), (2, "a", 5.0, 1)], "_time int, _field string, _value double, _written long"
+    )
+    assert sorted(r["_value"] for r in series.latest(rows).collect()) == [2.0, 5.0]
+    assert {r["_time"]: r["a"] for r in series.pivot(rows, ["_time"], "_field", ["a"]).collect()} == {1: 2.0, 2: 5.0}
 
 
 def test_keep_and_union(points, spark):

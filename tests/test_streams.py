@@ -8,6 +8,7 @@ from sensorlake import schemas
 from sensorlake.operators import decode
 from sensorlake.sinks import tables as sinks
 from sensorlake.sources import landed, messages
+from sensorlake.sources import tables as sources
 from sensorlake.streaming import jobs
 
 
@@ -157,10 +158,39 @@ def test_debug_sinks(spark, topic):
 
 
 def test_export_bounds_the_batch_size(spark, topic, place):
-    topic.send(*[detection(i, 0.95) for i in range(25)])
-    run(jobs.start_export(topic.stream(), place("out"), place("marks"), max_records=10, available_now=True))
-    sizes = spark.read.parquet(place("out")).groupBy(F.input_file_name()).count()
+    for low in (0, 10, 20):
+        topic.send(*[detection(i, 0.95) for i in range(low, min(low + 10, 25))])
+    rows = topic.stream(max_files=1)
+    run(jobs.start_export(rows, place("out"), place("marks"), max_records=10, available_now=True))
+    sizes = spark.read.parquet(place("out")).groupBy("batch_id").count()
     assert sorted(r["count"] for r in sizes.collect()) == [5, 10, 10]
+    with pytest.raises(Exception, match="bound it at the source"):
+        jobs.start_export(topic.stream(), place("out2"), place("marks2"), max_records=10,
+                          available_now=True).awaitTermination(120)
+
+
+def test_streams_and_appends_share_a_table(spark, topic, place):
+    topic.send(detection(1, 0.95), detection(2, 0.95))
+    row = spark.createDataFrame([(9, "car", 0.9)], schemas.DETECTIONS)
+    sinks.ensure_table(spark, place("table"), schemas.DETECTIONS)
+    sinks.append(row, place("table"))
+    for marks in ("m1", "m2"):
+        run(jobs.start_append(jobs.detections(topic.stream()), place("table"), place(marks), available_now=True))
+    sinks.append(row, place("table"))
+    assert sorted(r["id"] for r in sources.lake_scan(spark, place("table")).collect()) == [1, 1, 2, 2, 9, 9]
+
+
+def test_tables_that_hide_rows_are_refused(spark, topic, place):
+    topic.send(detection(1, 0.95))
+    rows = jobs.detections(topic.stream())
+    old = rows.writeStream.format("parquet").option("checkpointLocation", place("m0"))
+    run(old.trigger(availableNow=True).start(place("old")))
+    spark.createDataFrame([(9, "car", 0.9)], schemas.DETECTIONS).write.parquet(place("loose"))
+    for table in ("old", "loose"):
+        with pytest.raises(ValueError, match="new table"):
+            jobs.start_append(rows, place(table), place("m"), available_now=True)
+        with pytest.raises(ValueError, match="new table"):
+            sinks.append(spark.createDataFrame([(9, "car", 0.9)], schemas.DETECTIONS), place(table))
 
 
 def test_one_file_per_trigger(spark, topic, place):
@@ -219,6 +249,7 @@ def test_jobs_run_from_the_command_line(spark, topic, place, tmp_path, capsys):
     scrapes.mkdir()
     (scrapes / "a.txt").write_text("kafka_server_replicamanager_partitioncount 5\nother 1\n")
     cli.main(["collect", "--scrapes", str(scrapes), "--points", place("points")])
+    cli.main(["collect", "--scrapes", str(scrapes), "--points", place("points")])
     assert spark.read.parquet(place("points")).count() == 1
     cli.main(["metrics", "--points", place("points"), "--hours", "24"])
     assert "kafka_server_replicamanager_partitioncount" in capsys.readouterr().out
