@@ -19,8 +19,8 @@ One minus the Jaccard coefficient is a metric, and documents link at distance
    different components are compared with one another. Large regions are cut
    into blocks, each pair of blocks being a group of its own.
 
-Before sets are compared a third kind of pivot prunes: 64 hash classes of the
-universe of shingles. The difference of two points' counts in each class, summed
+Before sets are compared a third kind of pivot prunes: hash classes of the
+universe of shingles, 64 within regions and 256 for single pairs. The difference of two points' counts in each class, summed
 up, bounds the size of their symmetric difference from below (the triangle
 inequality of the counting metric); linked sets differ in (|x| + |y|) / 9 at most.
 
@@ -46,9 +46,13 @@ from sensorlake.llm import blocks, graph, scratch, words
 
 _U = np.uint64
 SHINGLE = 5
-CLASSES = 64
+CLASSES = 256
+#: Sums of neighbouring classes that points carry into regions.
+COARSE = 64
 #: Points of a region that are compared in one group.
 REGION_POINTS = 2048
+#: Points, of whatever regions, that one group compares.
+GROUP_ROWS = 200_000
 _TOLD = -1
 
 
@@ -165,10 +169,11 @@ def _points(text: str):
                     [
                         pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary()),
                         pa.array(counts, pa.int64()),
-                        pa.array([c.astype(np.uint32).tobytes() for c in classes.reshape(-1, CLASSES)], pa.binary()),
+                        pa.array(_clipped(classes.reshape(-1, COARSE, CLASSES // COARSE).sum(axis=2)), pa.binary()),
+                        pa.array(_clipped(classes.reshape(-1, CLASSES)), pa.binary()),
                         pa.array([h.tobytes() for h in sets], pa.binary()),
                     ],
-                    names=["set", "n", "classes", "hashes"],
+                    names=["set", "n", "coarse", "classes", "hashes"],
                 )
 
     return run
@@ -182,14 +187,19 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)) if firsts else pa.array([], pa.int64()), batch.column("set").take(at)], names=["region", "set"])
 
 
-def _counts(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, CLASSES).astype(np.int64)
+def _clipped(counts: np.ndarray) -> list[bytes]:
+    """Counts as bytes. Counts that stop at 255 differ by less than the counts do, so bounds hold."""
+    return [row.tobytes() for row in np.minimum(counts, 255).astype(np.uint8)]
+
+
+def _counts(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, width).astype(np.int16)
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose class counts allow a link."""
     for batch in batches:
-        apart = np.abs(_counts(batch.column("classes_a")) - _counts(batch.column("classes_b"))).sum(axis=1)
+        apart = np.abs(_counts(batch.column("classes_a"), CLASSES) - _counts(batch.column("classes_b"), CLASSES)).sum(axis=1, dtype=np.int64)
         sizes = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
         yield batch.filter(pa.array(9 * apart <= sizes)).select(["a", "b"])
 
@@ -207,26 +217,37 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(table: pa.Table) -> pa.Table:
-    """Pairs of a region's points in different components that the bounds allow."""
-    table = table.sort_by("n")
-    n, roots, points = table["n"].to_numpy(), table["root"].combine_chunks().dictionary_encode().indices.to_numpy(), table["set"].combine_chunks()
-    classes, block = _counts(table["classes"].combine_chunks()), table["part"].to_numpy()
-    diagonal = table["low"][0].as_py() == table["high"][0].as_py()
-    left, right = [], []
-    for i in range(len(n) - 1):
-        high = int(np.searchsorted(n, n[i] * 5 // 4, side="right"))
-        other = np.arange(i + 1, high)
-        other = other[roots[i + 1 : high] != roots[i]]
-        if not diagonal:
-            other = other[block[other] != block[i]]
-        if len(other):
-            apart = np.abs(classes[other] - classes[i]).sum(axis=1)
-            other = other[9 * apart <= n[other] + n[i]]
-            left.append(np.full(len(other), i))
-            right.append(other)
-    a = np.concatenate(left) if left else np.zeros(0, dtype=np.int64)
-    b = np.concatenate(right) if right else np.zeros(0, dtype=np.int64)
-    return pa.table({"a": points.take(pa.array(a)), "b": points.take(pa.array(b))})
+    """Pairs of points of a region in different components that the bounds allow, for many regions at once."""
+    table = table.sort_by([("region", "ascending"), ("low", "ascending"), ("high", "ascending"), ("n", "ascending")])
+    region, low, high, n, block = (table[c].to_numpy() for c in ("region", "low", "high", "n", "part"))
+    roots = table["root"].combine_chunks().dictionary_encode().indices.to_numpy()
+    points, classes = table["set"].combine_chunks(), _counts(table["coarse"].combine_chunks(), COARSE)
+    new = np.ones(len(n), dtype=bool)
+    new[1:] = (region[1:] != region[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+    begins = np.append(np.flatnonzero(new), len(n))
+    coded = points.dictionary_encode()
+    name, names = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+    found, held = [np.zeros(0, dtype=np.int64)], 0
+    for begin, end in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+        for at in range(begin, end - 1, 64):
+            # 64 points against those that follow, up to a quarter larger
+            own = np.arange(at, min(at + 64, end - 1))
+            other = np.arange(at + 1, begin + int(np.searchsorted(n[begin:end], n[own[-1]] * 5 // 4, side="right")))
+            allowed = (other[None, :] > own[:, None]) & (roots[other][None, :] != roots[own][:, None])
+            allowed &= 4 * n[other][None, :] <= 5 * n[own][:, None]
+            if low[at] != high[at]:
+                allowed &= block[other][None, :] != block[own][:, None]
+            a, b = np.nonzero(allowed)
+            a, b = own[a], other[b]
+            near = 9 * np.abs(classes[a] - classes[b]).sum(axis=1, dtype=np.int64) <= n[a] + n[b]
+            a, b = name[a[near]], name[b[near]]
+            found.append(np.minimum(a, b) * names + np.maximum(a, b))
+            held += len(a)
+            if held > 1 << 20:  # a pair of near copies shares many regions
+                found = [np.unique(np.concatenate(found))]
+                held = 0
+    pairs = np.unique(np.concatenate(found))
+    return pa.table({"a": coded.dictionary.take(pa.array(pairs // names)), "b": coded.dictionary.take(pa.array(pairs % names))})
 
 
 def _verified(pairs: DataFrame, points: DataFrame) -> DataFrame:
@@ -260,7 +281,7 @@ def _resolved(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame, DataFra
     chosen = sized.where("near").groupBy("set").agg(F.min(F.struct("block", "place")).alias("at"))
     chosen = chosen.groupBy("at.block").agg(F.collect_list("at.place").alias("places"))
     points = packed.select("block", "blob").join(chosen, "block").select("blob", "places")
-    points = scratch.save(points.mapInArrow(_points(text), "set binary, n long, classes binary, hashes binary"), f"{path}/points")
+    points = scratch.save(points.mapInArrow(_points(text), "set binary, n long, coarse binary, classes binary, hashes binary"), f"{path}/points")
     members = points.select("set", "n", "hashes").mapInArrow(_regions, "region long, set binary")
     regions = members.groupBy("region").agg(F.min("set").alias("pivot"), F.count("*").alias("points")).where("points > 1")
     members = scratch.save(members.join(regions, "region"), f"{path}/members")
@@ -341,13 +362,25 @@ def _rooted(sized: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _apart(members: DataFrame, points: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of points that share a region and are still in different components."""
-    rooted = members.join(roots.withColumnRenamed("node", "set"), "set", "left")
+    """Pairs of points that share a region and are still in different components.
+
+    Pairs with the region's pivot were compared before. A group of work is some
+    regions, or blocks of a large one, of about GROUP_ROWS rows. Regions with the
+    same smallest component go to one group where they fit, so that a pair of near
+    copies, which shares many regions, comes out of few groups and not of each region.
+    """
+    groups = max(1, -(-members.count() // GROUP_ROWS))
+    rooted = members.where("set <> pivot").join(roots.withColumnRenamed("node", "set"), "set", "left")
     rooted = rooted.select("region", "set", F.coalesce("root", "set").alias("root"))
     open_ = rooted.groupBy("region").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("points"))
-    open_ = open_.where("least < most").select("region", F.ceil(F.col("points") / REGION_POINTS).cast("int").alias("parts"))
+    open_ = open_.where("least < most").select("region", "least", "points", F.ceil(F.col("points") / REGION_POINTS).cast("int").alias("parts"))
+    shares = F.ceil(F.sum(F.col("points") * F.col("parts")) / GROUP_ROWS).alias("shares")
+    open_ = open_.join(open_.groupBy("least").agg(shares), "least").drop("points")
     dealt = rooted.join(open_, "region").withColumn("part", F.expr("cast(pmod(xxhash64(set), parts) as int)"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("region", "set", "root", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
-    dealt = dealt.join(points.select("set", "n", "classes"), "set")
-    return dealt.groupBy("region", "low", "high").applyInArrow(_across, "a binary, b binary").distinct()
+    dealt = dealt.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")})
+    share = F.xxhash64("least", F.pmod(F.xxhash64("region", "low", "high"), F.col("shares")))
+    group = F.when(F.col("shares") > 1, share).otherwise(F.pmod(F.xxhash64("least"), F.lit(groups))).alias("group")
+    dealt = dealt.select("region", "set", "root", "part", "low", "high", group)
+    dealt = dealt.join(points.select("set", "n", "coarse"), "set")
+    return dealt.groupBy("group").applyInArrow(_across, "a binary, b binary").distinct()
