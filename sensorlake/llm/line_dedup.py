@@ -14,10 +14,12 @@ Lines are known by a 64-bit hash and a 32-bit fingerprint from the same
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,20 +29,29 @@ from sensorlake.llm import blocks, scratch
 from sensorlake.llm.words import mix
 
 _U = np.uint64
-_STRIPPED = " \t\n\x0b\x0c\r"
-_LOWER = {c: c + 32 for c in range(65, 91)}
+_STRIPPED = b" \t\n\x0b\x0c\r"
 #: Slots of a level for each key that it gets.
 GAMMA = 2
 
 
-def line_key(line: str) -> str:
-    """The line without white space at its ends, A-Z as a-z."""
-    return line.strip(_STRIPPED).translate(_LOWER)
+def line_key(line: bytes) -> bytes:
+    """The line without white space at its ends, A-Z as a-z, in UTF-8."""
+    return line.strip(_STRIPPED).lower()
 
 
-def _hash(key: str) -> tuple[int, int]:
-    both = xxhash.xxh3_128_intdigest(key.encode("utf-8", "surrogatepass"))
-    return both & 0xFFFFFFFFFFFFFFFF, (both >> 64) & 0xFFFFFFFF
+def _lines(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").split(b"\n")
+
+
+def _counts(key: bytes, min_chars: int) -> bool:
+    """Whether the key has min_chars code points or more."""
+    return len(key) >= min_chars and (min_chars <= 1 or len(key.decode("utf-8", "surrogatepass")) >= min_chars)
+
+
+def _names(lines: list[bytes], min_chars: int) -> list[bytes | None]:
+    """Hash and fingerprint of each line's key, twelve bytes; None for a key that is too short."""
+    digest = xxhash.xxh3_128_digest
+    return [digest(key)[:12] if _counts(key, min_chars) else None for key in map(line_key, lines)]
 
 
 def build(keys: np.ndarray) -> list[np.ndarray]:
@@ -69,20 +80,16 @@ def slots(levels: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _block_keys(text: str, min_chars: int):
-    def keys(rows: pa.Table) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-        docs: dict[tuple[int, int], int] = {}
-        for value in rows.column(text).to_pylist():
-            own = {k for k in map(line_key, (value or "").split("\n")) if len(k) >= min_chars}
-            for key in map(_hash, own):
-                docs[key] = docs.get(key, 0) + 1
-        hashes = np.fromiter((k[0] for k in docs), dtype=_U, count=len(docs))
-        order = np.argsort(hashes, kind="stable")
-        prints = np.fromiter((k[1] for k in docs), dtype=np.uint32, count=len(docs))
-        counts = np.fromiter(docs.values(), dtype=np.uint32, count=len(docs))
-        return hashes[order], {"prints": prints[order], "counts": counts[order]}
-
-    return keys
+def _keys(names: list[list[bytes | None]]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Of a block's lines by document: distinct hashes in order, with fingerprints and documents."""
+    docs: Counter[bytes] = Counter()
+    for own in names:
+        docs.update(set(own))
+    del docs[None]
+    parts = np.frombuffer(b"".join(docs), dtype=[("hash", "<u8"), ("print", "<u4")])
+    order = np.argsort(parts["hash"], kind="stable")
+    counts = np.fromiter(docs.values(), dtype=np.uint32, count=len(docs))
+    return parts["hash"][order], {"prints": parts["print"][order], "counts": counts[order]}
 
 
 def _folded(keys: np.ndarray, prints: np.ndarray) -> np.ndarray:
@@ -176,7 +183,10 @@ def dedup(docs: DataFrame, text: str = "text", min_docs: int = 10, min_chars: in
     names = [f for f in docs.schema.fields if f.name not in ("n_lines", "n_dropped", "kept_sha256")]
     docs = docs.select(*[F.col(f"`{f.name}`") for f in names])
     packed = blocks.pack(docs, text, f"{path}/blocks")
-    keys = _block_keys(text, min_chars)
+
+    def keys(rows: pa.Table) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        return _keys([_names(_lines(value), min_chars) for value in rows.column(text).to_pylist()])
+
     asked = scratch.save(blocks.questions(packed, _shards(packed), keys, ["prints", "counts"]), f"{path}/asked")
     stored = scratch.save(index(asked), f"{path}/index")
     told = scratch.save(blocks.gathered(probe(asked, stored, min_docs), "told"), f"{path}/told")
@@ -187,24 +197,24 @@ def dedup(docs: DataFrame, text: str = "text", min_docs: int = 10, min_chars: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob, parts in zip(batch.column("blob"), batch.column("told").to_pylist(), strict=True):
-                rows = unpacked_rows = blocks.unpacked(blob.as_py())
-                sorted_keys, beside = keys(rows)
+                rows = blocks.unpacked(blob.as_py())
+                every = [_lines(value) for value in rows.column(text).to_pylist()]
+                names = [_names(lines, min_chars) for lines in every]
+                sorted_keys, beside = _keys(names)
                 hit = blocks.joined(parts, bool)
-                dropped = set(zip(sorted_keys[hit].tolist(), beside["prints"][hit].tolist(), strict=True))
-                texts, lines, lost, digests = [], [], [], []
-                for value in rows.column(text).to_pylist():
-                    all_lines = (value or "").split("\n")
-                    kept = all_lines
-                    if dropped:
-                        kept = [x for x in all_lines if len(k := line_key(x)) < min_chars or _hash(k) not in dropped]
-                    joined = "\n".join(kept)
-                    texts.append(joined if value is not None else None)
-                    lines.append(len(all_lines))
-                    lost.append(len(all_lines) - len(kept))
-                    digests.append(hashlib.sha256(joined.encode("utf-8", "surrogatepass")).hexdigest())
+                found = np.empty(int(hit.sum()), dtype=[("hash", "<u8"), ("print", "<u4")])
+                found["hash"], found["print"] = sorted_keys[hit], beside["prints"][hit]
+                packed_names = found.tobytes()
+                dropped = {packed_names[k : k + 12] for k in range(0, len(packed_names), 12)}
+                kept = [[x for x, name in zip(lines, own, strict=True) if name not in dropped] for lines, own in zip(every, names, strict=True)]
+                lost = [len(lines) - len(left) for lines, left in zip(every, kept, strict=True)]
+                texts = [b"\n".join(left) for left in kept]
+                digests = [hashlib.sha256(x).hexdigest() for x in texts]
+                cleaned = pa.array(texts, pa.large_binary()).cast(pa.large_string())
+                cleaned = pc.if_else(rows.column(text).is_valid(), cleaned, pa.scalar(None, pa.large_string()))
                 place = rows.column_names.index(text)
-                out = unpacked_rows.set_column(place, text, pa.array(texts, rows.schema.field(text).type))
-                for name, values, kind in (("n_lines", lines, pa.int64()), ("n_dropped", lost, pa.int64()), ("kept_sha256", digests, pa.string())):
+                out = rows.set_column(place, text, cleaned.cast(rows.schema.field(text).type))
+                for name, values, kind in (("n_lines", list(map(len, every)), pa.int64()), ("n_dropped", lost, pa.int64()), ("kept_sha256", digests, pa.string())):
                     out = out.append_column(name, pa.array(values, kind))
                 yield from out.to_batches()
 
