@@ -83,16 +83,18 @@ def test_many_groups_are_not_broadcast(skewed, monkeypatch):
     check(skewed, ["k"], "v", direct_rows=1_000)
 
 
-def test_a_range_that_misses_the_rank_is_an_error(spark):
-    data = spark.range(100).select(F.lit("a").alias("k"), F.col("id").cast("double").alias("_v"))
-    for lo, hi in ((60.0, 99.0), (0.0, 40.0)):
-        ranges = spark.createDataFrame([("a", 49.5, lo, hi)], "k string, _rank_m double, _lo_m double, _hi_m double")
-        ranked = quantiles._ranked(quantiles._with_ranges(data, ranges, ["k"], 1), ["k"], ["m"])
-        with pytest.raises(Exception, match="outside its range"):
-            ranked.collect()
-    ranges = spark.createDataFrame([("a", 49.5, 40.0, 60.0)], "k string, _rank_m double, _lo_m double, _hi_m double")
-    ranked = quantiles._ranked(quantiles._with_ranges(data, ranges, ["k"], 1), ["k"], ["m"])
-    assert ranked.collect() == [("a", 49.5)]
+def test_a_range_that_misses_its_rank_starts_anew(spark, monkeypatch):
+    data = spark.range(2_000).select(F.lit("a").alias("k"), F.col("id").cast("double").alias("v"))
+    ranked, calls = quantiles._ranked, []
+
+    def missed_once(joined, keys, names):
+        calls.append(names)
+        return ranked(joined, keys, names).withColumns({"m": F.lit(-1.0), "_missed": F.lit(True)} if len(calls) == 1 else {})
+
+    monkeypatch.setattr(quantiles, "_ranked", missed_once)
+    found = quantiles.grouped_quantiles(data, ["k"], "v", {"m": 0.5}, direct_rows=100)
+    assert found.first()["m"] == 999.5 and len(calls) == 2
+
 
 
 def test_a_group_is_needed(skewed):
