@@ -12,17 +12,19 @@ One minus the Jaccard coefficient is a metric, and documents link at distance
    pivots a linked document may be alone in n/5 regions at most. Blocks of
    documents ask shards of pivots which regions hold a second document; who
    is alone in more than n/5 goes no further. This is exact, not a sample.
-3. Equal sets are one point. In each region the point of the smallest name is
-   the second-level pivot, and every other point is compared with it. Links
-   found this way join whole groups of near copies by one comparison each.
+3. Equal sets are one point. In each region PIVOTS points, those of smallest
+   hash under as many seeds, are the second-level pivots, and every other point
+   is compared with them. Regions of one group mostly have the same pivots, so
+   links found this way join groups of near copies by a few comparisons a point.
 4. The regions join recursively: points of a region that step 3 left in
    different components are compared with one another. Large regions are cut
    into blocks, each pair of blocks being a group of its own.
 
 Before sets are compared a third kind of pivot prunes: hash classes of the
-universe of shingles, 64 within regions and 256 for single pairs. The difference of two points' counts in each class, summed
-up, bounds the size of their symmetric difference from below (the triangle
-inequality of the counting metric); linked sets differ in (|x| + |y|) / 9 at most.
+universe of shingles, first 64, then 256. The difference of two points' counts
+in each class, summed up, bounds the size of their symmetric difference from
+below (the triangle inequality of the counting metric); linked sets differ in
+(|x| + |y|) / 9 at most.
 
 Shingles are known by 64-bit hashes, sets by 128-bit hashes.
 
@@ -38,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,8 +49,12 @@ from sensorlake.llm import blocks, graph, scratch, words
 _U = np.uint64
 SHINGLE = 5
 CLASSES = 256
-#: Sums of neighbouring classes that points carry into regions.
+#: Sums of neighbouring classes, which are compared first.
 COARSE = 64
+#: Points of each region that all others of the region are compared with.
+PIVOTS = 4
+#: Pairs whose classes are compared at a time.
+PAIRS_AT_ONCE = 1 << 16
 #: Points of a region that are compared in one group.
 REGION_POINTS = 2048
 #: Points, of whatever regions, that one group compares.
@@ -169,11 +175,10 @@ def _points(text: str):
                     [
                         pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary()),
                         pa.array(counts, pa.int64()),
-                        pa.array(_clipped(classes.reshape(-1, COARSE, CLASSES // COARSE).sum(axis=2)), pa.binary()),
                         pa.array(_clipped(classes.reshape(-1, CLASSES)), pa.binary()),
                         pa.array([h.tobytes() for h in sets], pa.binary()),
                     ],
-                    names=["set", "n", "coarse", "classes", "hashes"],
+                    names=["set", "n", "classes", "hashes"],
                 )
 
     return run
@@ -196,6 +201,15 @@ def _counts(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, width).astype(np.int16)
 
 
+def _allowed(classes: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the pairs (a, b) of rows may be linked as far as these class counts tell."""
+    keep = [np.zeros(0, dtype=bool)]
+    for at in range(0, len(a), PAIRS_AT_ONCE):
+        x, y = a[at : at + PAIRS_AT_ONCE], b[at : at + PAIRS_AT_ONCE]
+        keep.append(9 * np.abs(classes[x] - classes[y]).sum(axis=1, dtype=np.int64) <= n[x] + n[y])
+    return np.concatenate(keep)
+
+
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose class counts allow a link."""
     for batch in batches:
@@ -221,7 +235,8 @@ def _across(table: pa.Table) -> pa.Table:
     table = table.sort_by([("region", "ascending"), ("low", "ascending"), ("high", "ascending"), ("n", "ascending")])
     region, low, high, n, block = (table[c].to_numpy() for c in ("region", "low", "high", "n", "part"))
     roots = table["root"].combine_chunks().dictionary_encode().indices.to_numpy()
-    points, classes = table["set"].combine_chunks(), _counts(table["coarse"].combine_chunks(), COARSE)
+    points, classes = table["set"].combine_chunks(), _counts(table["classes"].combine_chunks(), CLASSES)
+    coarse = classes.reshape(-1, COARSE, CLASSES // COARSE).sum(axis=2, dtype=np.int16)
     new = np.ones(len(n), dtype=bool)
     new[1:] = (region[1:] != region[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
     begins = np.append(np.flatnonzero(new), len(n))
@@ -239,8 +254,10 @@ def _across(table: pa.Table) -> pa.Table:
                 allowed &= block[other][None, :] != block[own][:, None]
             a, b = np.nonzero(allowed)
             a, b = own[a], other[b]
-            near = 9 * np.abs(classes[a] - classes[b]).sum(axis=1, dtype=np.int64) <= n[a] + n[b]
-            a, b = name[a[near]], name[b[near]]
+            for counts in (coarse, classes):
+                near = _allowed(counts, n, a, b)
+                a, b = a[near], b[near]
+            a, b = name[a], name[b]
             found.append(np.minimum(a, b) * names + np.maximum(a, b))
             held += len(a)
             if held > 1 << 20:  # a pair of near copies shares many regions
@@ -264,6 +281,10 @@ def _verified(pairs: DataFrame, points: DataFrame) -> DataFrame:
     return whole.select("a", "b", "hashes_a", "hashes_b").mapInArrow(_linked, "a binary, b binary")
 
 
+def _seeded(seed: Column) -> Column:
+    return F.xxhash64("set", seed)
+
+
 def _resolved(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The rows in blocks, one row per document (block, place, n_shingles, set), and the root of each linked set."""
     spark = docs.sparkSession
@@ -281,13 +302,19 @@ def _resolved(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame, DataFra
     chosen = sized.where("near").groupBy("set").agg(F.min(F.struct("block", "place")).alias("at"))
     chosen = chosen.groupBy("at.block").agg(F.collect_list("at.place").alias("places"))
     points = packed.select("block", "blob").join(chosen, "block").select("blob", "places")
-    points = scratch.save(points.mapInArrow(_points(text), "set binary, n long, coarse binary, classes binary, hashes binary"), f"{path}/points")
+    points = scratch.save(points.mapInArrow(_points(text), "set binary, n long, classes binary, hashes binary"), f"{path}/points")
     members = points.select("set", "n", "hashes").mapInArrow(_regions, "region long, set binary")
-    regions = members.groupBy("region").agg(F.min("set").alias("pivot"), F.count("*").alias("points")).where("points > 1")
+    least = [F.min(_seeded(F.lit(k))).alias(f"m{k}") for k in range(PIVOTS)]
+    regions = members.groupBy("region").agg(F.count("*").alias("points"), *least).where("points > 1")
+    regions = regions.select("region", F.array(*[f"m{k}" for k in range(PIVOTS)]).alias("pivots"))
     members = scratch.save(members.join(regions, "region"), f"{path}/members")
 
-    near = _verified(members.select(F.col("pivot").alias("a"), F.col("set").alias("b")), points)
-    near = scratch.save(near, f"{path}/near")
+    # a pivot is found by its hash; should two points share one, both are compared
+    named = members.select(F.col("set").alias("b"), F.posexplode("pivots").alias("seed", "pivot")).distinct()
+    pivots = points.select(F.col("set").alias("a"), "set", F.explode(F.array(*map(F.lit, range(PIVOTS)))).alias("seed"))
+    pivots = pivots.select("a", "seed", _seeded(F.col("seed")).alias("pivot"))
+    near = scratch.save(_verified(named.join(pivots, ["seed", "pivot"]).select("a", "b"), points), f"{path}/near")
+    members = members.select("region", "set")
     roots = graph.components(near, f"{path}/first")
     rest = scratch.save(_apart(members, points, roots), f"{path}/apart")
     links = near.union(_verified(rest, points))
@@ -364,13 +391,13 @@ def _rooted(sized: DataFrame, roots: DataFrame) -> DataFrame:
 def _apart(members: DataFrame, points: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs of points that share a region and are still in different components.
 
-    Pairs with the region's pivot were compared before. A group of work is some
+    Pairs with a pivot of the region may come again. A group of work is some
     regions, or blocks of a large one, of about GROUP_ROWS rows. Regions with the
     same smallest component go to one group where they fit, so that a pair of near
     copies, which shares many regions, comes out of few groups and not of each region.
     """
     groups = max(1, -(-members.count() // GROUP_ROWS))
-    rooted = members.where("set <> pivot").join(roots.withColumnRenamed("node", "set"), "set", "left")
+    rooted = members.join(roots.withColumnRenamed("node", "set"), "set", "left")
     rooted = rooted.select("region", "set", F.coalesce("root", "set").alias("root"))
     open_ = rooted.groupBy("region").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("points"))
     open_ = open_.where("least < most").select("region", "least", "points", F.ceil(F.col("points") / REGION_POINTS).cast("int").alias("parts"))
@@ -382,5 +409,5 @@ def _apart(members: DataFrame, points: DataFrame, roots: DataFrame) -> DataFrame
     share = F.xxhash64("least", F.pmod(F.xxhash64("region", "low", "high"), F.col("shares")))
     group = F.when(F.col("shares") > 1, share).otherwise(F.pmod(F.xxhash64("least"), F.lit(groups))).alias("group")
     dealt = dealt.select("region", "set", "root", "part", "low", "high", group)
-    dealt = dealt.join(points.select("set", "n", "coarse"), "set")
+    dealt = dealt.join(points.select("set", "n", "classes"), "set")
     return dealt.groupBy("group").applyInArrow(_across, "a binary, b binary").distinct()
