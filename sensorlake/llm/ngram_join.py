@@ -54,11 +54,11 @@ COARSE = 64
 #: Points of each region that all others of the region are compared with.
 PIVOTS = 4
 #: Pairs whose classes are compared at a time.
-PAIRS_AT_ONCE = 1 << 16
+PAIRS_AT_ONCE = 1 << 14
 #: Points of a region that are compared in one group.
 REGION_POINTS = 2048
 #: Points, of whatever regions, that one group compares.
-GROUP_ROWS = 200_000
+GROUP_ROWS = 50_000
 _TOLD = -1
 
 
@@ -198,7 +198,10 @@ def _clipped(counts: np.ndarray) -> list[bytes]:
 
 
 def _counts(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, width).astype(np.int16)
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset :][: len(column) + 1]
+    held = column.buffers()[2]
+    return np.frombuffer(held if held else b"", dtype=np.uint8)[ends[0] : ends[-1]].reshape(-1, width)
 
 
 def _allowed(classes: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -206,16 +209,16 @@ def _allowed(classes: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -
     keep = [np.zeros(0, dtype=bool)]
     for at in range(0, len(a), PAIRS_AT_ONCE):
         x, y = a[at : at + PAIRS_AT_ONCE], b[at : at + PAIRS_AT_ONCE]
-        keep.append(9 * np.abs(classes[x] - classes[y]).sum(axis=1, dtype=np.int64) <= n[x] + n[y])
+        keep.append(9 * np.abs(classes[x].astype(np.int16) - classes[y]).sum(axis=1, dtype=np.int64) <= n[x] + n[y])
     return np.concatenate(keep)
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose class counts allow a link."""
     for batch in batches:
-        apart = np.abs(_counts(batch.column("classes_a"), CLASSES) - _counts(batch.column("classes_b"), CLASSES)).sum(axis=1, dtype=np.int64)
-        sizes = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-        yield batch.filter(pa.array(9 * apart <= sizes)).select(["a", "b"])
+        rows, n = batch.num_rows, np.concatenate([batch.column(c).to_numpy() for c in ("n_a", "n_b")])
+        classes = np.concatenate([_counts(batch.column(c), CLASSES) for c in ("classes_a", "classes_b")])
+        yield batch.filter(pa.array(_allowed(classes, n, np.arange(rows), np.arange(rows) + rows))).select(["a", "b"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
