@@ -55,6 +55,8 @@ COARSE = 64
 PIVOTS = 4
 #: Pairs whose classes are compared at a time.
 PAIRS_AT_ONCE = 1 << 14
+#: The most that is broadcast, in bytes.
+BROADCAST_BYTES = 32 << 20
 #: Points of a region that are compared in one group.
 REGION_POINTS = 2048
 #: Points, of whatever regions, that one group compares.
@@ -304,7 +306,7 @@ def _resolved(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame, DataFra
     # one document of each set that may have links
     chosen = sized.where("near").groupBy("set").agg(F.min(F.struct("block", "place")).alias("at"))
     chosen = chosen.groupBy("at.block").agg(F.collect_list("at.place").alias("places"))
-    points = packed.select("block", "blob").join(chosen, "block").select("blob", "places")
+    points = _beside(packed, scratch.save(chosen, f"{path}/chosen"))
     points = scratch.save(points.mapInArrow(_points(text), "set binary, n long, classes binary, hashes binary"), f"{path}/points")
     members = points.select("set", "n", "hashes").mapInArrow(_regions, "region long, set binary")
     least = [F.min(_seeded(F.lit(k))).alias(f"m{k}") for k in range(PIVOTS)]
@@ -319,7 +321,7 @@ def _resolved(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame, DataFra
     near = scratch.save(_verified(named.join(pivots, ["seed", "pivot"]).select("a", "b"), points), f"{path}/near")
     members = members.select("region", "set")
     roots = graph.components(near, f"{path}/first")
-    rest = scratch.save(_apart(members, points, roots), f"{path}/apart")
+    rest = scratch.save(_apart(members, points, roots, path), f"{path}/apart")
     links = near.union(_verified(rest, points))
     return packed, sized, scratch.save(graph.components(links, f"{path}/all"), f"{path}/roots")
 
@@ -360,6 +362,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     smallest key one stays; a null key comes before all others here.
     """
     packed, sized, roots = _resolved(docs, text)
+    path = scratch.folder(docs.sparkSession)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -381,8 +384,19 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
             for blob, places in zip(batch.column("blob"), batch.column("places").to_pylist(), strict=True):
                 yield from blocks.unpacked(blob.as_py()).take(pa.array(places)).to_batches()
 
-    whole = packed.select("block", "blob").join(kept, "block").select("blob", "places")
-    return whole.mapInArrow(take, docs.schema)
+    return _beside(packed, scratch.save(kept, f"{path}/kept")).mapInArrow(take, docs.schema)
+
+
+def _beside(packed: DataFrame, chosen: DataFrame) -> DataFrame:
+    """blob and places of each block that is chosen.
+
+    Lists of places of BROADCAST_BYTES together at most are broadcast, so that
+    blocks stay where they are; beyond that both sides are joined by block.
+    """
+    size = chosen.agg(F.sum(64 + 4 * F.size("places"))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        chosen = F.broadcast(chosen)
+    return packed.select("block", "blob").join(chosen, "block").select("blob", "places")
 
 
 def _rooted(sized: DataFrame, roots: DataFrame) -> DataFrame:
@@ -391,7 +405,7 @@ def _rooted(sized: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.select("block", "place", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "set")).alias("root"))
 
 
-def _apart(members: DataFrame, points: DataFrame, roots: DataFrame) -> DataFrame:
+def _apart(members: DataFrame, points: DataFrame, roots: DataFrame, path: str) -> DataFrame:
     """Pairs of points that share a region and are still in different components.
 
     Pairs with a pivot of the region may come again. A group of work is some
@@ -401,9 +415,12 @@ def _apart(members: DataFrame, points: DataFrame, roots: DataFrame) -> DataFrame
     """
     groups = max(1, -(-members.count() // GROUP_ROWS))
     rooted = members.join(roots.withColumnRenamed("node", "set"), "set", "left")
-    rooted = rooted.select("region", "set", F.coalesce("root", "set").alias("root"))
-    open_ = rooted.groupBy("region").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("points"))
-    open_ = open_.where("least < most").select("region", "least", "points", F.ceil(F.col("points") / REGION_POINTS).cast("int").alias("parts"))
+    rooted = scratch.save(rooted.select("region", "set", F.coalesce("root", "set").alias("root")), f"{path}/rooted")
+    # components by hash: regions whose components all share one would stay shut, at odds of 2 ** -64
+    ends = [f(F.xxhash64("root")).alias(name) for f, name in ((F.min, "least"), (F.max, "most"))]
+    open_ = rooted.groupBy("region").agg(*ends, F.count("*").alias("points")).where("least < most")
+    open_ = open_.select("region", "least", "points", F.ceil(F.col("points") / REGION_POINTS).cast("int").alias("parts"))
+    open_ = scratch.save(open_, f"{path}/open")
     shares = F.ceil(F.sum(F.col("points") * F.col("parts")) / GROUP_ROWS).alias("shares")
     open_ = open_.join(open_.groupBy("least").agg(shares), "least").drop("points")
     dealt = rooted.join(open_, "region").withColumn("part", F.expr("cast(pmod(xxhash64(set), parts) as int)"))
