@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,8 @@ from sensorlake.llm import scratch, words
 
 END_ID = 2
 SEGMENT_BYTES = 8 << 20
-#: Distinct words whose ids a task keeps; beyond it starts anew.
-KEPT_WORDS = 400_000
+#: Distinct pieces of words whose ids a task keeps; beyond it starts anew.
+KEPT_PIECES = 500_000
 #: Set bits between two entries of the select structure.
 SAMPLED = 64
 
@@ -91,8 +92,8 @@ class EliasFano:
 
 # Words of these characters only are cut and spelled here as the tokenizer file says:
 # composed already, each with one small letter, and neither a marker nor a space inside.
-_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
-_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_PLAIN = "^[!-~À-ÖØ-öø-ÿ]*$"
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]| |[^ a-z0-9ß-öø-ÿ]+")
 
 
 def _spelling() -> dict[int, str]:
@@ -102,66 +103,77 @@ def _spelling() -> dict[int, str]:
     return {b: chr(b) for b in printing} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
+def _runs(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of pool that begin at starts, one after another."""
+    ends = np.cumsum(sizes)
+    return pool[np.arange(int(sizes.sum())) + np.repeat(starts - (ends - sizes), sizes)]
+
+
 class Encoder:
     """Ids of texts under a tokenizer file, word by word.
 
     Where the file drops white space before it cuts, as the word files do, the
-    ids of a text are those of its words; each distinct word of a task is encoded
-    once. Any other file encodes whole texts.
+    ids of a text are those of its words. Each distinct word of a call is cut
+    once, and the ids of its pieces are kept for later calls. Any other file
+    encodes whole texts.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         shape = str(self.tokenizer.normalizer), str(self.tokenizer.pre_tokenizer)
-        by_word = 'pattern=Regex("\\s+"), content=" "' in shape[0] and "behavior=Removed, invert=True" in shape[1]
-        self.known: dict[str, np.ndarray] | None = {} if by_word else None
+        self.by_word = 'pattern=Regex("\\s+"), content=" "' in shape[0] and "behavior=Removed, invert=True" in shape[1]
         self.letters = _spelling()
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
 
-    def _plain(self, word: str) -> np.ndarray:
-        ids: list[int] = []
-        for piece in _PIECES.findall(word.lower()):
-            found = self.pieces.get(piece)
-            if found is None:
-                spelled = piece if piece.isascii() else "".join(self.letters[b] for b in piece.encode())
-                found = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(spelled)]
-            ids += found
-        return np.array(ids, dtype=self.kind)
+    def _batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        encodings = self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)
+        found = [np.array(e.ids, dtype=self.kind) for e in encodings]
+        return np.concatenate([np.zeros(0, self.kind), *found]), np.array([len(f) for f in found], dtype=np.int64)
 
-    def _learn(self, distinct: list[str]) -> None:
-        if len(self.known) + len(distinct) > KEPT_WORDS:
-            self.known.clear()
+    def _learn(self, distinct: list[str]) -> list[bytes]:
+        if len(self.pieces) + len(distinct) > KEPT_PIECES:
             self.pieces.clear()
-        rest = []
-        for word in distinct:
-            if word not in self.known:
-                if _PLAIN.fullmatch(word) and "<|" not in word:
-                    self.known[word] = self._plain(word)
-                else:
-                    rest.append(word)
-        for word, found in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(found.ids, dtype=self.kind)
+        for piece in distinct:
+            if piece not in self.pieces:
+                spelled = piece if piece.isascii() else "".join(self.letters[b] for b in piece.encode())
+                ids = [] if piece == " " else [t.id for t in self.tokenizer.model.tokenize(spelled)]
+                self.pieces[piece] = array(self.kind().dtype.char, ids).tobytes()
+        return [self.pieces[piece] for piece in distinct]
+
+    def _plain(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words that match _PLAIN one after another, and how many each has."""
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(distinct)], distinct), pa.scalar(" ", distinct.type))[0].as_py()
+        pieces = pa.array(_PIECES.findall(joined.lower()), pa.string()).dictionary_encode()
+        names = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = self._learn(names)
+        sizes = np.array([len(k) for k in known], dtype=np.int64) // self.kind().itemsize
+        codes = pieces.indices.to_numpy()
+        ids = _runs(np.frombuffer(b"".join(known), dtype=self.kind), (np.cumsum(sizes) - sizes)[codes], sizes[codes])
+        word_of = np.cumsum(codes == names.index(" ")) if " " in names else np.zeros(len(codes), dtype=np.int64)
+        return ids, np.bincount(word_of, weights=sizes[codes], minlength=len(distinct)).astype(np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (null: empty) one after another, and how many each has."""
         texts = texts.cast(pa.large_string()).fill_null("")
-        if self.known is None:
-            found = [np.array(e.ids, dtype=self.kind) for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
-            return np.concatenate([np.zeros(0, self.kind), *found]), np.array([len(f) for f in found], dtype=np.int64)
+        if not self.by_word:
+            return self._batch(texts)
         cut = pc.ascii_split_whitespace(texts)
         flat, text_of = pc.list_flatten(cut), pc.list_parent_indices(cut).to_numpy()
         coded = flat.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        self._learn(distinct)
-        each = [self.known[w] for w in distinct]
-        sizes = np.array([len(e) for e in each], dtype=np.int64)
-        pool, starts = np.concatenate([np.zeros(0, self.kind), *each]), np.cumsum(sizes) - sizes
+        distinct = coded.dictionary
+        plain = pc.and_not(pc.match_substring_regex(distinct, _PLAIN), pc.match_substring(distinct, "<|"))
+        plain = pc.and_(plain, pc.greater(pc.binary_length(distinct), 0))
+        ids, sizes = np.zeros(0, self.kind), np.zeros(len(distinct), dtype=np.int64)
+        starts = np.zeros(len(distinct), dtype=np.int64)
+        for own, ids_of in ((plain, self._plain), (pc.invert(plain), self._batch)):
+            part, of_own = ids_of(distinct.filter(own))
+            at = np.flatnonzero(own.to_numpy(zero_copy_only=False))
+            sizes[at], starts[at] = of_own, len(ids) + np.cumsum(of_own) - of_own
+            ids = np.concatenate([ids, part])
         codes = coded.indices.to_numpy()
-        lengths = sizes[codes]
-        out_ends = np.cumsum(lengths)
-        at = np.arange(int(lengths.sum())) + np.repeat(starts[codes] - (out_ends - lengths), lengths)
-        return pool[at], np.bincount(text_of, weights=lengths, minlength=len(texts)).astype(np.int64)
+        counts = np.bincount(text_of, weights=sizes[codes], minlength=len(texts)).astype(np.int64)
+        return _runs(ids, starts[codes], sizes[codes]), counts
 
 
 def write(docs: DataFrame, tokenizer: str, path: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
