@@ -240,6 +240,16 @@ def test_token_binary(spark, docs, rows):
     assert got == expected
 
 
+def test_encoder_cuts_words_as_the_tokenizer_does():
+    tokenizer, encoder = Tokenizer.from_file(WORD_FILE), token_binary.Encoder(WORD_FILE)
+    odd = ["''s a''t x'RE 'S don't", "ÀÖØ÷×µªº ß É", "á é \u0301x \u00a0y z\u2003w x\x1cq \x85", "İI ﬁ 你好", "<|startoftext|>a<|endoftext|>b <| |>", "A.b,C--d 1a2'd3"]
+    for texts in (odd, [*odd, None, "", " ", "x" * 5000], [None, ""], []):
+        ids, counts = encoder.encode(pa.array(texts, pa.string()))
+        each = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert counts.tolist() == [len(e) for e in each]
+        assert ids.tolist() == [i for e in each for i in e]
+
+
 def test_elias_fano_round_trip():
     rng = np.random.default_rng(2)
     for n, top in ((0, 1), (1, 1), (300, 1), (300, 10**9), (5000, 10**6)):
