@@ -11,7 +11,8 @@ One minus the Jaccard coefficient is a metric, and documents link at distance
 2. Most documents are far from all others. Of a somewhat longer list of first
    pivots a linked document may be alone in n/5 regions at most. Blocks of
    documents ask shards of pivots which regions hold a second document; who
-   is alone in more than n/5 goes no further. This is exact, not a sample.
+   is alone in more than n/5 goes no further. This is exact, not a sample:
+   listed() makes the lists of linked documents long enough for each other.
 3. Equal sets are one point. In each region PIVOTS points, those of smallest
    hash under as many seeds, are the second-level pivots, and every other point
    is compared with them. Regions of one group mostly have the same pivots, so
@@ -88,6 +89,18 @@ def shingles(rows: pa.ChunkedArray, size: int = SHINGLE) -> tuple[np.ndarray, np
     return np.concatenate(docs), np.concatenate(all_hashes)
 
 
+def listed(n: np.ndarray) -> np.ndarray:
+    """How many of its n first shingles a document lists.
+
+    Of x's list a linked y may lack the |x - y| shingles it does not hold, and those
+    that its own |y - x| push off its list: listed(x) - listed(y) + |y - x| of them.
+    Neither may exceed |x| // 5. 0.35 n rounded to the nearest leaves room for that
+    from 48 shingles on; sizes below are enumerated in the tests. Rounded down, the
+    lists of some short texts were one too short.
+    """
+    return np.maximum(n // 5 + 1, (7 * n + 10) // 20)
+
+
 def _firsts(docs: np.ndarray, counts: np.ndarray, limits: np.ndarray) -> np.ndarray:
     """Places of the first limits[d] shingles of each document."""
     starts = np.cumsum(counts) - counts
@@ -107,7 +120,7 @@ def _questions(text: str, shards: int):
                 names = b"".join(
                     xxhash.xxh3_128_digest(h.tobytes()) for h in np.split(hashes, np.cumsum(counts)[:-1])
                 )
-                at = _firsts(docs, counts, np.maximum(counts // 5 + 1, counts * 7 // 20))
+                at = _firsts(docs, counts, listed(counts))
                 order = np.argsort(hashes[at], kind="stable")
                 keys, who = hashes[at][order], docs[at][order].astype(np.uint16)
                 cuts = blocks.by_shard(keys, shards)
