@@ -40,8 +40,10 @@ _ENDS = {
     "th": ({"td", "th", "p"}, {"tr", "table"}),
     "tr": ({"tr", "td", "th", "p"}, {"table"}),
 }
+#: A foreign element that ends itself. The slash after an unquoted value is part of the value.
+_CLOSED = r"<(?:svg|math)(?=[\s/>])(?>(?:\s+|/(?!>)|[^\s\"'>/=]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?)*)/>"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|{_CLOSED}|<({_RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<[!?/][^>]*>|<[a-zA-Z][^>]*>|[^<]+|<",
     re.DOTALL | re.IGNORECASE,
 )
