@@ -1,13 +1,15 @@
 """Token counts with a digest cache.
 
-A cache table holds token counts by digest of the tokenizer file and digest of
-the content. Documents join it by digest; only contents that it lacks are
-encoded, each distinct one once, and their counts are appended.
+A cache table holds token counts by version of the tokenizer (library, release,
+digest of the file) and digest of the content. Documents join it by digest; only
+contents that it lacks are encoded, each distinct one once, and their counts are
+appended.
 """
 
 from __future__ import annotations
 
 import hashlib
+import importlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -24,10 +26,11 @@ CALL_BYTES = 4 << 20
 
 @cache
 def version(tokenizer: str) -> str:
-    """A digest of the tokenizer file and of the library that reads it."""
+    """The library that reads the tokenizer file, its release, and a digest of the file."""
     with open(tokenizer, "rb") as file:
         body = hashlib.sha256(file.read()).hexdigest()
-    return f"{'sentencepiece' if tokenizer.endswith('.model') else 'tokenizers'}:{body}"
+    library = importlib.import_module("sentencepiece" if tokenizer.endswith(".model") else "tokenizers")
+    return f"{library.__name__}:{library.__version__}:{body}"
 
 
 @cache
@@ -63,10 +66,16 @@ def open_cache(spark: SparkSession, path: str) -> DataFrame:
 
 
 def encoded(misses: DataFrame, tokenizer: str) -> DataFrame:
-    """For distinct rows (digest, text): rows of the cache."""
+    """For distinct rows (digest, text): rows of the cache.
+
+    A task whose tokenizer is of another version than the driver's fails.
+    """
+    name = version(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, name = _counter(tokenizer), version(tokenizer)
+        if version(tokenizer) != name:
+            raise ValueError(f"the driver has {name}, this machine {version(tokenizer)}")
+        count = _counter(tokenizer)
         for batch in batches:
             _, places = words.utf8(batch.column("text"))
             for low, high in words.chunks(places, CALL_BYTES):
