@@ -1,7 +1,8 @@
 """Licence scan by Dice coefficient over word bigrams, in Spark expressions only.
 
-The lines of a text, and the whole text where it has several, are units. A unit
-is normalised (A-Z to lower case, other characters than a-z and 0-9 to one
+The lines of a text, the whole text where it has several, and runs of its
+neighbouring lines are units; so a licence that is wrapped over lines inside a
+longer document is one. A unit is normalised (A-Z to lower case, other characters than a-z and 0-9 to one
 space) and compared with licence templates by 2 * common / (own + template)
 over distinct word bigrams. A coefficient of d or more bounds the sizes: neither
 side may have fewer than d / (2 - d) of the other's bigrams; units that no
@@ -12,6 +13,12 @@ Most text is looked at only once, for cues. The same bound says how many of its
 bigrams a template may lack at most; cues are words of the templates that, for
 each template, stand in more bigrams than that. So a unit without any cue is no
 licence, and a text without any cue has no unit that is.
+
+Runs of lines are made only of texts that hold, in all, as many of a template's
+bigrams as a match needs. Of those, runs begin and end at lines with common
+bigrams, and those count that no line more or less at either end makes better
+and that lie in no run as good; from every run that matches, such steps lead to
+one that counts, or to a line or the whole text.
 """
 
 from __future__ import annotations
@@ -24,8 +31,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MIN_DICE = 0.8
-#: The unit number of a whole text; lines count from 0.
+#: The unit number of a whole text; lines count from 0, a run that begins at line k is RUN - k.
 WHOLE = -1
+RUN = -2
 
 # Names and texts of licences and of the notices that grant them.
 TEMPLATES = (
@@ -148,14 +156,68 @@ def templates(spark: SparkSession, texts: tuple[tuple[str, str], ...] = TEMPLATE
     return rows.select("template", "license_id", bigrams(F.split(normalised(F.col("text")), " ")).alias("own"))
 
 
+def runs(texts: DataFrame, known: DataFrame, index: DataFrame, min_dice: float = MIN_DICE) -> DataFrame:
+    """Runs of neighbouring lines that match: body, unit, size, n_common, dice, t (template, other).
+
+    texts: body (the hash of the text) and text; known, index: templates by number and by bigram.
+    """
+    cut = F.transform(
+        F.split("text", "\n"),
+        lambda line, k: F.transform(
+            F.filter(F.split(normalised(line), " "), lambda w: w != ""), lambda w: F.struct(k.alias("line"), w.alias("word"))
+        ),
+    )
+    several = texts.where(F.contains("text", F.lit("\n")))
+
+    def pairs(rows: DataFrame) -> DataFrame:
+        words = F.col("words")
+        rows = rows.select("body", F.flatten(cut).alias("words")).where(F.size("words") > 1)
+        both = F.zip_with(
+            F.slice(words, 1, F.size(words) - 1),
+            F.slice(words, 2, F.size(words) - 1),
+            lambda x, y: F.struct(x.line.alias("first"), y.line.alias("last"), F.concat_ws(" ", x.word, y.word).alias("bigram")),
+        )
+        return rows.select("body", F.explode(F.array_distinct(both)).alias("at")).select("body", "at.*")
+
+    # a match holds d / (2 - d) of the template's bigrams
+    held = pairs(several).join(F.broadcast(index), "bigram").select("body", "bigram", "first", F.explode("held").alias("t"))
+    near = held.groupBy("body", "t").agg(F.count_distinct("bigram").alias("n"), F.collect_set("first").alias("starts"))
+    near = near.where(F.col("n") >= F.col("t.other") * (min_dice / (2 - min_dice)) - 1e-9)
+    starts = near.select("body", "t", F.explode("starts").alias("a"))
+    inside = pairs(several.join(near.select("body").distinct(), "body", "left_semi")).distinct()
+    ends = inside.groupBy("body").agg(F.min("first").alias("top"), F.max("last").alias("bottom"))
+
+    # a bigram is in all runs from its first place after a
+    new = starts.join(inside, "body").where(F.col("first") >= F.col("a")).groupBy("body", "t", "a", "bigram").agg(F.min("last").alias("b"))
+    own = known.select(F.col("template").alias("of"), F.explode("own").alias("bigram"), F.lit(1).alias("common"))
+    new = new.withColumn("of", F.col("t.template")).join(F.broadcast(own), ["of", "bigram"], "left")
+    each = new.groupBy("body", "t", "a", "b").agg(F.count("*").alias("n"), F.count("common").alias("c"))
+    longer, later = W.partitionBy("body", "t", "a").orderBy("b"), W.partitionBy("body", "t", "b").orderBy("a")
+    each = each.withColumns({"size": F.sum("n").over(longer), "n_common": F.sum("c").over(longer), "reach": F.coalesce(F.lead("b").over(longer) - 1, F.lit(2**31 - 1))})
+    each = each.where("c > 0")
+    each = each.withColumn("dice", 2 * F.col("n_common") / (F.col("size") + F.col("t.other")))
+    less = F.greatest(F.coalesce(F.lag("dice").over(longer), F.lit(0.0)), F.coalesce(F.lead("dice").over(later), F.lit(0.0)))
+    more = F.greatest(F.coalesce(F.lead("dice").over(longer), F.lit(0.0)), F.coalesce(F.lag("dice").over(later), F.lit(0.0)))
+    each = each.withColumns({"less": less, "more": more})
+    best = each.where((F.col("dice") >= min_dice) & (F.col("dice") > F.col("less")) & (F.col("dice") >= F.col("more")) & (F.col("a") < F.col("b")))
+    # lines that add nothing new stop the steps early: a run inside an equal or better one goes
+    wider = best.select("body", "t", F.col("a").alias("from"), F.col("b").alias("to"), F.col("reach").alias("until"), F.col("dice").alias("over"))
+    around = ((F.col("from") < F.col("a")) & (F.col("until") >= F.col("b"))) | ((F.col("from") == F.col("a")) & (F.col("to") > F.col("b")))
+    best = best.drop("reach").join(wider, (best["body"] == wider["body"]) & (best["t"] == wider["t"]) & around & (F.col("over") >= F.col("dice")), "left_anti")
+    best = best.join(ends, "body").where((F.col("a") > F.col("top")) | (F.col("b") < F.col("bottom")))
+    return best.select("body", (F.lit(RUN) - F.col("a")).alias("unit"), "size", "n_common", "dice", "t")
+
+
 def scan(
     docs: DataFrame, key: str = "doc_id", text: str = "text",
     texts: tuple[tuple[str, str], ...] = TEMPLATES, min_dice: float = MIN_DICE,
 ) -> DataFrame:
     """The units that are a licence: key, unit, license_id, n_bigrams, n_common (long), dice.
 
-    unit: the number of the line, or -1 for a whole text of several lines. Of
-    several templates the one of the highest coefficient counts, then the first.
+    unit: the number of the line, -1 for a whole text of several lines, or -2 - k
+    for a run of lines that begins at line k. Of several templates the one of the
+    highest coefficient counts, then the first; of the runs that begin at a line,
+    the best of each licence.
     A null or empty text has no unit that matches. Rows that repeat key and text
     give one row per unit. Other columns are left out.
     """
@@ -184,7 +246,11 @@ def scan(
     by_unit = common.where(allowed).groupBy("key", "body", "unit", "size", "t").agg(F.count_distinct("bigram").alias("n_common"))
     dice = 2 * F.col("n_common") / (F.col("size") + F.col("t.other"))
     found = by_unit.withColumn("dice", dice).where(F.col("dice") >= min_dice)
-    best = W.partitionBy("key", "body", "unit").orderBy(F.col("dice").desc(), "t.template")
-    found = found.withColumn("rank", F.row_number().over(best)).where("rank = 1").withColumn("template", F.col("t.template"))
-    named = found.join(F.broadcast(known.select("template", "license_id")), "template")
+    found = found.select("key", "body", "unit", "size", "n_common", "dice", "t")
+    wrapped = runs(held.select("body", "text"), known, index, min_dice)
+    found = found.unionByName(held.select("key", "body").distinct().join(wrapped, "body"))
+    found = found.withColumn("template", F.col("t.template")).join(F.broadcast(known.select("template", "license_id")), "template")
+    of_run = F.when(F.col("unit") <= RUN, F.col("license_id"))
+    best = W.partitionBy("key", "body", "unit", of_run).orderBy(F.col("dice").desc(), "template", "size")
+    named = found.withColumn("rank", F.row_number().over(best)).where("rank = 1")
     return named.select(F.col("key").alias(key), "unit", "license_id", F.col("size").cast("long").alias("n_bigrams"), "n_common", "dice")
