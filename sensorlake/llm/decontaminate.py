@@ -20,6 +20,8 @@ contained in the passage to 0.8 or more.
 
 All chunks of a task's texts are scored by array operations. The index is built
 from one shard of items at a time, of SHARD_ITEMS at most, and sent with the job.
+Item count, document frequencies, mean length and the length of a stretch are
+those of all items, counted by Spark, so results do not depend on the shards.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorlake.llm import words
+from sensorlake.llm import scratch, words
 from sensorlake.llm.words import Words
 
 _U = np.uint64
@@ -79,8 +81,19 @@ class Index:
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # shingles: item, question, answer
 
 
-def build(rows: list[tuple]) -> Index | None:
-    """The index of rows (id, text); None if none has a word."""
+@dataclass
+class Statistics:
+    """Of all items that have words: their number, mean and highest length, and how many hold a term."""
+
+    items: int
+    mean: float
+    longest: int
+    terms: np.ndarray  # sorted hashes, at least those of the items that are indexed
+    frequency: np.ndarray
+
+
+def build(rows: list[tuple], whole: Statistics | None = None) -> Index | None:
+    """The index of rows (id, text); None if none has a word. Without statistics the rows are all items."""
     held = [(key, text, hashes) for key, text in rows if text and len(hashes := _hashes(text))]
     if not held:
         return None
@@ -89,9 +102,11 @@ def build(rows: list[tuple]) -> Index | None:
     item = np.repeat(np.arange(len(held)), [len(t) for t, _ in found])
     term, counts = np.concatenate([t for t, _ in found]), np.concatenate([c for _, c in found])
     terms, at = np.unique(term, return_inverse=True)
-    frequency = np.bincount(at)
-    idf = np.log(1 + (len(held) - frequency + 0.5) / (frequency + 0.5))
-    weight = idf[at] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths[item] / lengths.mean()))
+    if whole is None:
+        whole = Statistics(len(held), float(lengths.mean()), int(lengths.max()), terms, np.bincount(at))
+    frequency = whole.frequency[np.searchsorted(whole.terms, terms)]
+    idf = np.log(1 + (whole.items - frequency + 0.5) / (frequency + 0.5))
+    weight = idf[at] * counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths[item] / whole.mean))
     impact = weight / np.bincount(item, weights=weight)[item]
     order = np.lexsort((item, at))
     at, item, impact = at[order], item[order], impact[order]
@@ -111,7 +126,7 @@ def build(rows: list[tuple]) -> Index | None:
     return Index(
         [key for key, _, _ in held], terms, np.searchsorted(at, np.arange(len(terms) + 1)), item, impact,
         np.searchsorted(at[first], np.arange(len(terms) + 1)), block[first], np.maximum.reduceat(impact, first),
-        slight, float(running[running < SLACK].max(initial=0.0)), max(32, int(lengths.max())), parts,
+        slight, float(running[running < SLACK].max(initial=0.0)), max(32, whole.longest), parts,
     )
 
 
@@ -203,14 +218,41 @@ def leaks(part: Words, index: Index, threshold: float = THRESHOLD, overlap: floa
     return [(text, item, *values) for (text, item), values in sorted(best.items())]
 
 
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per item and distinct term; the first of an item carries its length, the others 0."""
+    for batch in batches:
+        for text, shard in zip(batch.column("text").to_pylist(), batch.column("shard").to_pylist(), strict=True):
+            hashes = _hashes(text) if text else np.zeros(0, dtype=_U)
+            if len(hashes):
+                terms = np.unique(hashes)
+                length = np.zeros(len(terms), dtype=np.int64)
+                length[0] = len(hashes)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(terms), shard), pa.int32()), pa.array(terms.view(np.int64)), pa.array(length)],
+                    names=["shard", "term", "length"],
+                )
+
+
 def indexes(items: DataFrame, key: str = "item_id", text: str = "text") -> list[Index]:
     """The indexes of all items, by shards of about SHARD_ITEMS at most."""
     held = items.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     shards = max(1, -(-held.count() // SHARD_ITEMS))
+    if shards == 1:
+        index = build([tuple(r) for r in held.orderBy("key", "text").collect()])
+        return [index] if index else []
+    path = scratch.folder(items.sparkSession)
+    held = held.withColumn("shard", F.expr(f"cast(pmod(xxhash64(key, text), {shards}) as int)"))
+    found = scratch.save(held.select("shard", "text").mapInArrow(_terms, "shard int, term long, length long"), f"{path}/terms")
+    sizes = found.where("length > 0").agg(F.count("*"), F.avg("length"), F.max("length")).first()
+    counted = found.groupBy("term").agg(F.count("*").alias("n"), F.collect_set("shard").alias("shards"))
+    counted = scratch.save(counted.select("term", "n", F.explode("shards").alias("shard")), f"{path}/counted")
     out = []
     for shard in range(shards):
-        rows = held.where(F.pmod(F.xxhash64("key", "text"), F.lit(shards)) == shard).orderBy("key", "text").collect()
-        index = build([tuple(r) for r in rows])
+        rows = held.where(F.col("shard") == shard).select("key", "text").orderBy("key", "text").collect()
+        told = counted.where(F.col("shard") == shard).select("term", "n").toArrow()
+        terms = told["term"].to_numpy().view(_U)
+        order = np.argsort(terms)
+        index = build([tuple(r) for r in rows], Statistics(*sizes, terms[order], told["n"].to_numpy()[order]))
         if index:
             out.append(index)
     return out
