@@ -1,14 +1,11 @@
-"""Substring dedup by relative Lempel-Ziv parsing against indexed blocks.
+"""Substring dedup by a lookup of window hashes.
 
-The corpus itself is the reference, block by block. A document is factored
-greedily: a factor grows word by word while the window of WINDOW words that
-ends it stands in a document with a smaller id. So a factor of WINDOW words or
-more is a duplicate span, and one that is cut short ends where the last window
-of the reference ends, not where a shorter phrase would; a span that two
-neighbouring phrases share is found at their boundary, as windows are looked
-up there too.
+This stands in for relative Lempel-Ziv parsing: no reference is indexed and no
+factor is extended to a longest match, because the result is defined by windows.
+A word is a duplicate if a window of WINDOW words that covers it also stands in
+a document with a smaller id. Windows found so that overlap or meet are merged.
 
-The reference is indexed in two steps, so that most windows never travel:
+Windows are looked up in two steps, so that most never travel:
 
 1. Anchors. Of the nine five-word grams in a window the one with the smallest
    hash is its anchor; equal windows have equal anchors, neighbouring windows
