@@ -128,12 +128,12 @@ def stream_fan_out(spark, sf_dir):
 def stream_batched_export(spark, sf_dir):
     base = work_dir(inputs.prepare(spark), "export")
     envelopes = inputs.detection_messages(inputs.events(spark, sf_dir))
-    envelopes.write.option("maxRecordsPerFile", jobs.EXPORT_RECORDS).parquet(f"{base}/landed")
+    envelopes.write.parquet(f"{base}/landed")
     rows = messages.file_stream(spark, f"{base}/landed", max_files=1).select("offset", "topic")
-    _finish(jobs.start_export(rows, f"{base}/table", f"{base}/marks", available_now=True))
-    batch = Window.partitionBy("query_id", "batch_id")
+    _finish(jobs.start_export(rows, f"{base}/table", f"{base}/marks", split=True, available_now=True))
+    flush = Window.partitionBy("query_id", "batch_id", "flush")
     stored = spark.read.parquet(f"{base}/table")
-    within = (F.count("*").over(batch) <= jobs.EXPORT_RECORDS).alias("within_limit")
+    within = (F.count("*").over(flush) <= jobs.EXPORT_RECORDS).alias("within_limit")
     return stored.select("offset", "topic", within)
 
 

@@ -162,20 +162,31 @@ def start_export(
     checkpoint: str,
     *,
     max_records: int = EXPORT_RECORDS,
+    split: bool = False,
     fmt: str = "parquet",
     every: str = EVERY,
     available_now: bool = False,
 ) -> StreamingQuery:
     """Flush what has arrived every second, or ``max_records`` rows of it.
 
-    A flush is a batch. The source bounds it (``max_offsets`` of a topic,
-    ``max_files`` of files that hold no more); a batch above the bound is an
-    error that says so, and never a loss. Files are as large as the batches.
+    With ``split`` a batch of any size is written, as flushes of ``max_records``
+    rows and a last one of the rest. Their number is the column ``flush``, by
+    which the table is partitioned. Without it a flush is a batch. The source
+    bounds it (``max_offsets`` of a topic, ``max_files`` of files that hold no
+    more); a batch above the bound is an error that says so, and never a loss.
+    Files are as large as the flushes.
     """
     _check_apart(path, checkpoint)
     sinks.check_layout(rows.sparkSession, path, fmt)
 
     def store(batch: DataFrame, batch_id: int) -> None:
+        if split:
+            batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                _write_batch(_flushes(batch, max_records), path, fmt, _query_id(batch), batch_id, ["flush"])
+            finally:
+                batch.unpersist()
+            return
         stored = _write_batch(batch.coalesce(1), path, fmt, _query_id(batch), batch_id)
         if stored > max_records:
             raise ValueError(f"a batch has {stored} rows, above {max_records}: bound it at the source")
@@ -199,6 +210,20 @@ def read_batches(spark: SparkSession, path: str, schema: T.StructType | None = N
     return reader.parquet(path).drop(*BATCH_COLUMNS)
 
 
+def _flushes(rows: DataFrame, max_records: int) -> DataFrame:
+    """Rows with the number of their flush; only the row counts of the partitions are gathered."""
+    found = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()
+    before = [0] * (1 + max((r["part"] for r in found), default=0))
+    total = 0
+    for r in sorted(found, key=lambda r: r["part"]):
+        before[r["part"]] = total
+        total += r["n"]
+    # the low bits of the id are the place within the partition
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    place = place + F.get(F.lit(before).cast("array<bigint>"), F.spark_partition_id())
+    return rows.withColumn("flush", F.floor(place / F.lit(max_records)).cast("long"))
+
+
 def _dated(rows: DataFrame) -> DataFrame:
     return rows.withColumn("date", F.to_date("`@timestamp`"))
 
