@@ -25,6 +25,9 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from functools import cache
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -97,6 +100,16 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
+# Standard headers, and full texts from the folder beside this module.
+_HEADERS = tuple(
+    (f"{short}-{version}", TEMPLATES[7][1].replace("GNU General", f"GNU {name} General").replace("version 3", f"version {number}"))
+    for short, name, version, number in (("LGPL", "Lesser", "3.0", "3"), ("LGPL", "Lesser", "2.1", "2.1"), ("AGPL", "Affero", "3.0", "3"))
+)
+_FILES = sorted((f for f in resources.files("sensorlake.llm").joinpath("licences").iterdir() if f.name.endswith(".txt")), key=lambda f: f.name)
+LICENCES = (*TEMPLATES, *_HEADERS, *((f.name.removesuffix(".txt"), f.read_text(encoding="utf-8")) for f in _FILES))
+#: Templates of so many bigrams, and more, have cues of their own.
+CLASSES = (0, 50, 1000)
+
 
 def normalised(text: Column) -> Column:
     """Words of a-z and 0-9, one space apart."""
@@ -110,7 +123,13 @@ def bigrams(words: Column) -> Column:
     return F.array_distinct(F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>")))
 
 
-def cues(texts: tuple[tuple[str, str], ...] = TEMPLATES, min_dice: float = MIN_DICE) -> list[str]:
+def _pairs(text: str) -> set[tuple[str, str]]:
+    words = re.sub("[^a-z0-9]+", " ", text.lower()).split()
+    return set(zip(words, words[1:], strict=False))
+
+
+@cache
+def cues(texts: tuple[tuple[str, str], ...] = LICENCES, min_dice: float = MIN_DICE) -> list[str]:
     """Words of which a unit must have one, to be near enough to any of the texts.
 
     Words are chosen one after another by the bigrams they add to templates that
@@ -118,23 +137,22 @@ def cues(texts: tuple[tuple[str, str], ...] = TEMPLATES, min_dice: float = MIN_D
     """
     open_: list[tuple[int, set[tuple[str, str]]]] = []
     for _, text in texts:
-        words = re.sub("[^a-z0-9]+", " ", text.lower()).split()
-        pairs = set(zip(words, words[1:], strict=False))
+        pairs = _pairs(text)
         open_.append((len(pairs) - math.ceil(len(pairs) * min_dice / (2 - min_dice) - 1e-9) + 1, pairs))
     chosen: list[str] = []
     for shortest in (5, 2):
         while True:
-            gain: dict[str, int] = {}
+            gain: Counter[str] = Counter()
             for need, pairs in open_:
-                left = need - sum(any(w in chosen for w in p) for p in pairs)
-                if left > 0:
-                    for word in {w for p in pairs for w in p if len(w) >= shortest and w not in chosen}:
-                        new = sum(word in p and not any(w in chosen for w in p) for p in pairs)
-                        gain[word] = gain.get(word, 0) + min(left, new)
+                if need > 0:
+                    for word, new in Counter(w for p in pairs for w in set(p) if len(w) >= shortest).items():
+                        gain[word] += min(need, new)
             best = max(gain, key=lambda w: (gain[w], len(w), w), default=None)
-            if best is None or not gain[best]:
+            if best is None:
                 break
             chosen.append(best)
+            left = [{p for p in pairs if best not in p} for _, pairs in open_]
+            open_ = [(need - len(pairs) + len(rest), rest) for (need, pairs), rest in zip(open_, left, strict=True)]
     return chosen
 
 
@@ -150,6 +168,18 @@ def has_cue(text: Column, words: list[str]) -> Column:
     return found
 
 
+def may_match(text: Column, texts: tuple[tuple[str, str], ...], min_dice: float) -> Column:
+    """Whether a text is long enough for, and has a cue of, the templates of one of the classes of size."""
+    out = F.lit(False)
+    for low, high in zip(CLASSES, (*CLASSES[1:], math.inf), strict=True):
+        own = tuple(t for t in texts if low <= len(_pairs(t[1])) < high)
+        if own:
+            # a bigram needs a word more, and a word takes two characters with its space
+            least = min(len(_pairs(t)) for _, t in own) * min_dice / (2 - min_dice)
+            out = out | ((F.length(text) >= 2 * least) & has_cue(text, cues(own, min_dice)))
+    return out
+
+
 def templates(spark: SparkSession, texts: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """One row per template: template (its number), license_id, own (its bigrams)."""
     rows = spark.createDataFrame([(k, name, text) for k, (name, text) in enumerate(texts)], "template int, license_id string, text string")
@@ -200,24 +230,24 @@ def runs(texts: DataFrame, known: DataFrame, index: DataFrame, min_dice: float =
     more = F.greatest(F.coalesce(F.lead("dice").over(longer), F.lit(0.0)), F.coalesce(F.lag("dice").over(later), F.lit(0.0)))
     each = each.withColumns({"less": less, "more": more})
     best = each.where((F.col("dice") >= min_dice) & (F.col("dice") > F.col("less")) & (F.col("dice") >= F.col("more")) & (F.col("a") < F.col("b")))
-    # lines that add nothing new stop the steps early: a run inside an equal or better one goes
-    wider = best.select("body", "t", F.col("a").alias("from"), F.col("b").alias("to"), F.col("reach").alias("until"), F.col("dice").alias("over"))
+    # a run inside an equal or better one, of whatever template, goes; lines that add nothing new count as inside
+    wider = best.select("body", F.col("a").alias("from"), F.col("b").alias("to"), F.col("reach").alias("until"), F.col("dice").alias("over"))
     around = ((F.col("from") < F.col("a")) & (F.col("until") >= F.col("b"))) | ((F.col("from") == F.col("a")) & (F.col("to") > F.col("b")))
-    best = best.drop("reach").join(wider, (best["body"] == wider["body"]) & (best["t"] == wider["t"]) & around & (F.col("over") >= F.col("dice")), "left_anti")
+    best = best.drop("reach").join(wider, (best["body"] == wider["body"]) & around & (F.col("over") >= F.col("dice")), "left_anti")
     best = best.join(ends, "body").where((F.col("a") > F.col("top")) | (F.col("b") < F.col("bottom")))
     return best.select("body", (F.lit(RUN) - F.col("a")).alias("unit"), "size", "n_common", "dice", "t")
 
 
 def scan(
     docs: DataFrame, key: str = "doc_id", text: str = "text",
-    texts: tuple[tuple[str, str], ...] = TEMPLATES, min_dice: float = MIN_DICE,
+    texts: tuple[tuple[str, str], ...] = LICENCES, min_dice: float = MIN_DICE,
 ) -> DataFrame:
     """The units that are a licence: key, unit, license_id, n_bigrams, n_common (long), dice.
 
     unit: the number of the line, -1 for a whole text of several lines, or -2 - k
     for a run of lines that begins at line k. Of several templates the one of the
-    highest coefficient counts, then the first; of the runs that begin at a line,
-    the best of each licence.
+    highest coefficient counts, then the first; likewise of the runs that begin
+    at a line.
     A null or empty text has no unit that matches. Rows that repeat key and text
     give one row per unit. Other columns are left out.
     """
@@ -226,14 +256,12 @@ def scan(
     sizes = [row[0] for row in known.select("size").collect()]  # of the templates, a constant
     least, most = min(sizes) * min_dice / (2 - min_dice), max(sizes) * (2 - min_dice) / min_dice
 
-    words = cues(texts, min_dice)
-    held = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).where(has_cue(F.col("text"), words))
+    held = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).where(may_match(F.col("text"), texts, min_dice))
     held = held.withColumn("body", F.xxhash64("text"))
     lines = F.transform(F.split("text", "\n"), lambda line, k: F.struct(k.alias("unit"), line.alias("line")))
     whole = F.array(F.struct(F.lit(WHOLE).alias("unit"), F.col("text").alias("line")))
     units = held.select("key", "body", F.explode(F.when(F.size(lines) > 1, F.concat(lines, whole)).otherwise(lines)).alias("at"))
-    # a bigram needs a word more, and a word takes two characters with its space
-    units = units.where((F.length("at.line") >= 2 * least) & has_cue(F.col("at.line"), words)).select("key", "body", "at.unit", F.split(normalised(F.col("at.line")), " ").alias("words"))
+    units = units.where(may_match(F.col("at.line"), texts, min_dice)).select("key", "body", "at.unit", F.split(normalised(F.col("at.line")), " ").alias("words"))
     units = units.where(F.size("words") > least).select("key", "body", "unit", bigrams(F.col("words")).alias("own"))
     units = units.withColumn("size", F.size("own")).where((F.col("size") >= least) & (F.col("size") <= most))
     each = units.select("key", "body", "unit", "size", F.explode("own").alias("bigram"))
@@ -250,7 +278,6 @@ def scan(
     wrapped = runs(held.select("body", "text"), known, index, min_dice)
     found = found.unionByName(held.select("key", "body").distinct().join(wrapped, "body"))
     found = found.withColumn("template", F.col("t.template")).join(F.broadcast(known.select("template", "license_id")), "template")
-    of_run = F.when(F.col("unit") <= RUN, F.col("license_id"))
-    best = W.partitionBy("key", "body", "unit", of_run).orderBy(F.col("dice").desc(), "template", "size")
+    best = W.partitionBy("key", "body", "unit").orderBy(F.col("dice").desc(), "template", "size")
     named = found.withColumn("rank", F.row_number().over(best)).where("rank = 1")
     return named.select(F.col("key").alias(key), "unit", "license_id", F.col("size").cast("long").alias("n_bigrams"), "n_common", "dice")
