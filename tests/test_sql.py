@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from sensorlake.queries import batch, oracle, streams
 from tests.sql_check import connect, differences
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -19,14 +20,10 @@ def test_query_matches_sql(spark, connection, name):
     assert differences(df, connection, entry.oracle_sql()[name])[:3] == []
 
 
-def test_every_sql_has_a_query():
-    assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"object_inventory"}
-
-
-def test_object_inventory_lists_every_file(spark):
-    rows = entry.queries()["object_inventory"](spark, SF_DIR).collect()
-    assert len(rows) == 14 and all(row["length"] > 0 for row in rows)
+def test_every_query_of_the_engine_has_sql():
+    own = {**batch.QUERIES, **streams.QUERIES}
+    assert set(own) == set(oracle.SQL)
+    assert set(own) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry_is_one_result_row(spark):
