@@ -13,6 +13,7 @@ from sensorlake.llm import (
     line_dedup,
     mixing,
     ngram_join,
+    periodic_runs,
     quality_rules,
     scratch,
     substring_dedup,
@@ -77,6 +78,22 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic_runs.detect(docs, key="doc_id", arrange=periodic_runs.planted)
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        "n_runs",
+        "start",
+        "length",
+        "period",
+        "exponent_milli",
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -90,5 +107,6 @@ QUERIES = {
         op8_source_mixing,
         op9_token_counts,
         op10_ngram_jaccard_join,
+        op13_periodic_runs,
     )
 }
