@@ -19,6 +19,7 @@ from sensorlake.llm import (
     substring_dedup,
     token_binary,
     token_counts,
+    whitening,
 )
 
 MAX_TOKENS = 4096
@@ -78,6 +79,20 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = whitening.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "one")
+    return done.select("vec_id", "n", "deviation", "identity_error", each).select(
+        "vec_id",
+        (F.col("place") + 1).alias("component"),
+        "n",
+        "deviation",
+        "one.whitened",
+        "one.explained",
+        "identity_error",
+    )
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = periodic_runs.detect(docs, key="doc_id", arrange=periodic_runs.planted)
@@ -107,6 +122,7 @@ QUERIES = {
         op8_source_mixing,
         op9_token_counts,
         op10_ngram_jaccard_join,
+        op12_embedding_whitening,
         op13_periodic_runs,
     )
 }
