@@ -153,3 +153,12 @@ common AS (
 SELECT docs.doc_id, coalesce(any_value(sizes.n), 0) AS n_shingles, min(reach.b) AS component_id
 FROM docs JOIN reach ON docs.doc_id = reach.a LEFT JOIN sizes ON sizes.doc_id = docs.doc_id GROUP BY docs.doc_id
 """
+
+SQL["op11_exact_dedup"] = r"""
+WITH docs AS (
+  SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER stays AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
+  row_number() OVER stays = 1 AS kept, sha256(body) AS text_sha256
+FROM docs WINDOW stays AS (PARTITION BY body ORDER BY chars DESC, doc_id)
+"""

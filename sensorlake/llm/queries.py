@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sensorlake.llm import (
     decontaminate,
+    exact_dedup,
     html_extract,
     license_scan,
     line_dedup,
@@ -79,6 +80,11 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return exact_dedup.dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = whitening.whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("place", "one")
@@ -122,6 +128,7 @@ QUERIES = {
         op8_source_mixing,
         op9_token_counts,
         op10_ngram_jaccard_join,
+        op11_exact_dedup,
         op12_embedding_whitening,
         op13_periodic_runs,
     )
