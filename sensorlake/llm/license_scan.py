@@ -11,14 +11,17 @@ size does not allow before common bigrams are counted.
 
 Most text is looked at only once, for cues. The same bound says how many of its
 bigrams a template may lack at most; cues are words of the templates that, for
-each template, stand in more bigrams than that. So a unit without any cue is no
-licence, and a text without any cue has no unit that is.
-
-Runs of lines are made only of texts that hold, in all, as many of a template's
-bigrams as a match needs. Of those, runs begin and end at lines with common
-bigrams, and those count that no line more or less at either end makes better
-and that lie in no run as good; from every run that matches, such steps lead to
-one that counts, or to a line or the whole text.
+each template, stand in more bigrams than that, long words first, as these are
+rare elsewhere. So a text without any cue is no licence and holds none. Of the
+others, equal ones are compared once, and only those are cut into units that
+hold, in all, as many of a template's bigrams as a match needs.
+
+A run begins and ends at lines with common bigrams, and counts if no line more
+or less at either end makes it better and it lies in no run as good; from every
+run that matches, such steps lead to one that counts, or to a line or the whole
+text. Lines from which on too few of a template's bigrams are left, or within
+reach, begin no run; the reach of a run ends where it would hold more bigrams
+that the text has only once than the size bound allows.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Sequence
 from functools import cache
 from importlib import resources
 
@@ -33,6 +37,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sensorlake.functions.plan import once
+from sensorlake.llm import scratch
+
 MIN_DICE = 0.8
 #: The unit number of a whole text; lines count from 0, a run that begins at line k is RUN - k.
 WHOLE = -1
@@ -109,12 +116,15 @@ _FILES = sorted((f for f in resources.files("sensorlake.llm").joinpath("licences
 LICENCES = (*TEMPLATES, *_HEADERS, *((f.name.removesuffix(".txt"), f.read_text(encoding="utf-8")) for f in _FILES))
 #: Templates of so many bigrams, and more, have cues of their own.
 CLASSES = (0, 50, 1000)
+#: Cues have so many letters, where longer ones do not do.
+LETTERS = (9, 7, 5, 2)
+#: Texts of more than one row in HOT are dealt to SALTS tasks when rows get their units.
+HOT, SALTS = 1000, 64
 
 
 def normalised(text: Column) -> Column:
     """Words of a-z and 0-9, one space apart."""
-    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.trim(F.regexp_replace(lower, "[^a-z0-9]+", " "))
+    return F.trim(F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", " ")))
 
 
 def bigrams(words: Column) -> Column:
@@ -133,14 +143,14 @@ def cues(texts: tuple[tuple[str, str], ...] = LICENCES, min_dice: float = MIN_DI
     """Words of which a unit must have one, to be near enough to any of the texts.
 
     Words are chosen one after another by the bigrams they add to templates that
-    need more; words under five letters only where longer ones do not do.
+    need more; shorter words only where longer ones do not do.
     """
     open_: list[tuple[int, set[tuple[str, str]]]] = []
     for _, text in texts:
         pairs = _pairs(text)
         open_.append((len(pairs) - math.ceil(len(pairs) * min_dice / (2 - min_dice) - 1e-9) + 1, pairs))
     chosen: list[str] = []
-    for shortest in (5, 2):
+    for shortest in LETTERS:
         while True:
             gain: Counter[str] = Counter()
             for need, pairs in open_:
@@ -156,28 +166,15 @@ def cues(texts: tuple[tuple[str, str], ...] = LICENCES, min_dice: float = MIN_DI
     return chosen
 
 
-def has_cue(text: Column, words: list[str]) -> Column:
-    """Whether the text may hold one of the words; long ones may be part of a longer word."""
-    low, found = F.lower(text), F.lit(False)
-    for word in words:
-        if len(word) >= 5:
-            found = found | F.contains(low, F.lit(word))
-    short = [w for w in words if len(w) < 5]
-    if short:
-        found = found | text.rlike("(?i)(?<![a-z0-9])(?:" + "|".join(short) + ")(?![a-z0-9])")
-    return found
-
-
-def may_match(text: Column, texts: tuple[tuple[str, str], ...], min_dice: float) -> Column:
-    """Whether a text is long enough for, and has a cue of, the templates of one of the classes of size."""
-    out = F.lit(False)
+def may_match(words: Column, texts: tuple[tuple[str, str], ...], min_dice: float) -> Column:
+    """Whether an array of words is long enough for, and has a cue of, any of the templates."""
+    least, chosen = math.inf, set()
     for low, high in zip(CLASSES, (*CLASSES[1:], math.inf), strict=True):
         own = tuple(t for t in texts if low <= len(_pairs(t[1])) < high)
         if own:
-            # a bigram needs a word more, and a word takes two characters with its space
-            least = min(len(_pairs(t)) for _, t in own) * min_dice / (2 - min_dice)
-            out = out | ((F.length(text) >= 2 * least) & has_cue(text, cues(own, min_dice)))
-    return out
+            least = min(least, min(len(_pairs(t)) for _, t in own) * min_dice / (2 - min_dice))
+            chosen |= set(cues(own, min_dice))
+    return (F.size(words) > least) & F.arrays_overlap(words, F.lit(sorted(chosen)))
 
 
 def templates(spark: SparkSession, texts: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
@@ -186,39 +183,68 @@ def templates(spark: SparkSession, texts: tuple[tuple[str, str], ...] = TEMPLATE
     return rows.select("template", "license_id", bigrams(F.split(normalised(F.col("text")), " ")).alias("own"))
 
 
-def runs(texts: DataFrame, known: DataFrame, index: DataFrame, min_dice: float = MIN_DICE) -> DataFrame:
-    """Runs of neighbouring lines that match: body, unit, size, n_common, dice, t (template, other).
-
-    texts: body (the hash of the text) and text; known, index: templates by number and by bigram.
-    """
+def _occurrences(texts: DataFrame) -> DataFrame:
+    """Where bigrams are found in texts of several lines: body, bigram, first, last (the lines of its words)."""
     cut = F.transform(
         F.split("text", "\n"),
         lambda line, k: F.transform(
             F.filter(F.split(normalised(line), " "), lambda w: w != ""), lambda w: F.struct(k.alias("line"), w.alias("word"))
         ),
     )
-    several = texts.where(F.contains("text", F.lit("\n")))
-
-    def pairs(rows: DataFrame) -> DataFrame:
-        words = F.col("words")
-        rows = rows.select("body", F.flatten(cut).alias("words")).where(F.size("words") > 1)
-        both = F.zip_with(
-            F.slice(words, 1, F.size(words) - 1),
-            F.slice(words, 2, F.size(words) - 1),
-            lambda x, y: F.struct(x.line.alias("first"), y.line.alias("last"), F.concat_ws(" ", x.word, y.word).alias("bigram")),
-        )
-        return rows.select("body", F.explode(F.array_distinct(both)).alias("at")).select("body", "at.*")
-
-    # a match holds d / (2 - d) of the template's bigrams
-    held = pairs(several).join(F.broadcast(index), "bigram").select("body", "bigram", "first", F.explode("held").alias("t"))
-    near = held.groupBy("body", "t").agg(F.count_distinct("bigram").alias("n"), F.collect_set("first").alias("starts"))
-    near = near.where(F.col("n") >= F.col("t.other") * (min_dice / (2 - min_dice)) - 1e-9)
-    starts = near.select("body", "t", F.explode("starts").alias("a"))
-    inside = pairs(several.join(near.select("body").distinct(), "body", "left_semi")).distinct()
-    ends = inside.groupBy("body").agg(F.min("first").alias("top"), F.max("last").alias("bottom"))
+    words = F.col("words")
+    rows = texts.where(F.contains("text", F.lit("\n"))).select("body", once(F.flatten(cut)).alias("words")).where(F.size("words") > 1)
+    both = F.zip_with(
+        F.slice(words, 1, F.size(words) - 1),
+        F.slice(words, 2, F.size(words) - 1),
+        lambda x, y: F.struct(x.line.alias("first"), y.line.alias("last"), F.concat_ws(" ", x.word, y.word).alias("bigram")),
+    )
+    return rows.select("body", F.explode(both).alias("at")).select("body", "at.*").distinct()
+
+
+def _starts(lines: DataFrame, common: DataFrame, ratio: float) -> DataFrame:
+    """Lines at which a run may begin: body, t, a, base.
+
+    lines: body, last (the line) and before, how many bigrams that the text has
+    only once stand in earlier lines. common: occurrences of bigrams of near
+    templates, with t.
+    """
+    need, most = F.col("t.other") * ratio - 1e-9, F.col("t.other") / ratio
+    here = common.groupBy("body", "t", F.col("first").alias("a")).agg(F.count_distinct("bigram").alias("here"))
+    last = common.groupBy("body", "t", "bigram").agg(F.max("first").alias("a")).groupBy("body", "t", "a").agg(F.count("*").alias("ends"))
+    each = here.join(last, ["body", "t", "a"], "left").join(lines.withColumnRenamed("last", "a"), ["body", "a"])
+    onward = W.partitionBy("body", "t").orderBy(F.desc("a"))
+    each = each.withColumn("left", F.sum(F.coalesce("ends", F.lit(0))).over(onward)).withColumn("at", F.floor(1000 * F.col("before") / most))
+    within = W.partitionBy("body", "t").orderBy("at").rangeBetween(0, 1000)
+    each = each.withColumn("near", F.sum("here").over(within)).where((F.col("left") >= need) & (F.col("near") >= need))
+    return each.select("body", "t", "a", F.floor(F.col("before") / most).alias("base"))
+
+
+def runs(texts: DataFrame, near: DataFrame, known: DataFrame, index: DataFrame, path: str, min_dice: float = MIN_DICE) -> DataFrame:
+    """Runs of neighbouring lines that match: body, unit, size, n_common, dice, t (template, other).
+
+    texts: body (a digest of the text) and text; near: body and t, the templates
+    it holds enough bigrams of; known, index: templates by number and by bigram.
+    """
+    ratio = min_dice / (2 - min_dice)
+    found = scratch.save(_occurrences(texts), f"{path}/occurrences")
+    once_only = found.groupBy("body", "bigram").agg(F.count("*").alias("n"), F.min("first").alias("first"), F.min("last").alias("last"))
+    once_only = once_only.where("n = 1 and first = last").groupBy("body", "last").agg(F.count("*").alias("own"))
+    lines = found.select("body", F.explode(F.array("first", "last")).alias("last")).distinct().join(once_only, ["body", "last"], "left")
+    earlier = W.partitionBy("body").orderBy("last").rowsBetween(W.unboundedPreceding, -1)
+    lines = lines.select("body", "last", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("before"))
+    inside = found.join(lines, ["body", "last"])
+    ends = found.groupBy("body").agg(F.min("first").alias("top"), F.max("last").alias("bottom"))
+
+    common = found.join(F.broadcast(index), "bigram").select("body", "bigram", "first", F.explode("held").alias("t"))
+    common = common.join(near, ["body", "t"], "left_semi")
+    # a run that matches, and the next line that adds to it, lie in these two stretches of the text
+    starts = _starts(lines, common, ratio)
+    starts = starts.withColumn("base", F.explode(F.array("base", F.col("base") + 1)))
+    inside = inside.join(near, "body").withColumn("base", F.floor(F.col("before") / (F.col("t.other") / ratio)))
 
     # a bigram is in all runs from its first place after a
-    new = starts.join(inside, "body").where(F.col("first") >= F.col("a")).groupBy("body", "t", "a", "bigram").agg(F.min("last").alias("b"))
+    new = starts.join(inside, ["body", "t", "base"]).where(F.col("first") >= F.col("a"))
+    new = new.groupBy("body", "t", "a", "bigram").agg(F.min("last").alias("b"))
     own = known.select(F.col("template").alias("of"), F.explode("own").alias("bigram"), F.lit(1).alias("common"))
     new = new.withColumn("of", F.col("t.template")).join(F.broadcast(own), ["of", "bigram"], "left")
     each = new.groupBy("body", "t", "a", "b").agg(F.count("*").alias("n"), F.count("common").alias("c"))
@@ -230,6 +256,7 @@ def runs(texts: DataFrame, known: DataFrame, index: DataFrame, min_dice: float =
     more = F.greatest(F.coalesce(F.lead("dice").over(longer), F.lit(0.0)), F.coalesce(F.lag("dice").over(later), F.lit(0.0)))
     each = each.withColumns({"less": less, "more": more})
     best = each.where((F.col("dice") >= min_dice) & (F.col("dice") > F.col("less")) & (F.col("dice") >= F.col("more")) & (F.col("a") < F.col("b")))
+    best = scratch.save(best, f"{path}/runs")
     # a run inside an equal or better one, of whatever template, goes; lines that add nothing new count as inside
     wider = best.select("body", F.col("a").alias("from"), F.col("b").alias("to"), F.col("reach").alias("until"), F.col("dice").alias("over"))
     around = ((F.col("from") < F.col("a")) & (F.col("until") >= F.col("b"))) | ((F.col("from") == F.col("a")) & (F.col("to") > F.col("b")))
@@ -238,9 +265,29 @@ def runs(texts: DataFrame, known: DataFrame, index: DataFrame, min_dice: float =
     return best.select("body", (F.lit(RUN) - F.col("a")).alias("unit"), "size", "n_common", "dice", "t")
 
 
+def _alone(texts: DataFrame, index: DataFrame, least: float, most: float, chosen: Column, ratio: float) -> DataFrame:
+    """Lines and whole texts with common bigrams: body, unit, size, n_common, t."""
+    lines = F.transform(F.split("text", "\n"), lambda line, k: F.struct(k.alias("unit"), line.alias("line")))
+    whole = F.array(F.struct(F.lit(WHOLE).alias("unit"), F.col("text").alias("line")))
+    units = texts.select("body", F.explode(F.when(F.size(lines) > 1, F.concat(lines, whole)).otherwise(lines)).alias("at"))
+    units = units.select("body", "at.unit", once(F.split(normalised(F.col("at.line")), " ")).alias("words")).where(chosen)
+    units = units.select("body", "unit", once(bigrams(F.col("words"))).alias("own"))
+    units = units.withColumn("size", F.size("own")).where((F.col("size") >= least) & (F.col("size") <= most))
+    each = units.select("body", "unit", "size", F.explode("own").alias("bigram"))
+    common = each.join(F.broadcast(index), "bigram").select("body", "unit", "size", F.explode("held").alias("t"))
+    allowed = (F.col("size") >= F.col("t.other") * ratio) & (F.col("t.other") >= F.col("size") * ratio)
+    return common.where(allowed).groupBy("body", "unit", "size", "t").agg(F.count("*").alias("n_common"))
+
+
+def _spread(rows: DataFrame, hot: DataFrame, salts: Column) -> DataFrame:
+    """Rows with a salt of 0, and salts of their own for hot bodies."""
+    marked = rows.join(F.broadcast(hot), "body", "left")
+    return marked.withColumn("salt", F.explode(F.when(F.col("hot"), salts).otherwise(F.array(F.lit(0))))).drop("hot")
+
+
 def scan(
     docs: DataFrame, key: str = "doc_id", text: str = "text",
-    texts: tuple[tuple[str, str], ...] = LICENCES, min_dice: float = MIN_DICE,
+    texts: Sequence[tuple[str, str]] = LICENCES, min_dice: float = MIN_DICE,
 ) -> DataFrame:
     """The units that are a licence: key, unit, license_id, n_bigrams, n_common (long), dice.
 
@@ -249,35 +296,40 @@ def scan(
     highest coefficient counts, then the first; likewise of the runs that begin
     at a line.
     A null or empty text has no unit that matches. Rows that repeat key and text
-    give one row per unit. Other columns are left out.
+    give one row per unit. Other columns are left out. Texts are told apart by
+    their MD5 digest.
     """
-    spark = docs.sparkSession
+    spark, path, texts = docs.sparkSession, scratch.folder(docs.sparkSession), tuple(texts)
     known = templates(spark, texts).withColumn("size", F.size("own"))
-    sizes = [row[0] for row in known.select("size").collect()]  # of the templates, a constant
-    least, most = min(sizes) * min_dice / (2 - min_dice), max(sizes) * (2 - min_dice) / min_dice
-
-    held = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).where(may_match(F.col("text"), texts, min_dice))
-    held = held.withColumn("body", F.xxhash64("text"))
-    lines = F.transform(F.split("text", "\n"), lambda line, k: F.struct(k.alias("unit"), line.alias("line")))
-    whole = F.array(F.struct(F.lit(WHOLE).alias("unit"), F.col("text").alias("line")))
-    units = held.select("key", "body", F.explode(F.when(F.size(lines) > 1, F.concat(lines, whole)).otherwise(lines)).alias("at"))
-    units = units.where(may_match(F.col("at.line"), texts, min_dice)).select("key", "body", "at.unit", F.split(normalised(F.col("at.line")), " ").alias("words"))
-    units = units.where(F.size("words") > least).select("key", "body", "unit", bigrams(F.col("words")).alias("own"))
-    units = units.withColumn("size", F.size("own")).where((F.col("size") >= least) & (F.col("size") <= most))
-    each = units.select("key", "body", "unit", "size", F.explode("own").alias("bigram"))
-
+    sizes = [len(_pairs(t)) for _, t in texts]
+    ratio = min_dice / (2 - min_dice)
+    least, most = min(sizes) * ratio, max(sizes) / ratio
     index = known.select("template", F.col("size").alias("other"), F.explode("own").alias("bigram"))
     index = index.groupBy("bigram").agg(F.collect_list(F.struct("template", "other")).alias("held"))
-    common = each.join(F.broadcast(index), "bigram").select("key", "body", "unit", "size", "bigram", F.explode("held").alias("t"))
-    ratio = F.lit(min_dice / (2 - min_dice))
-    allowed = (F.col("size") >= F.col("t.other") * ratio) & (F.col("t.other") >= F.col("size") * ratio)
-    by_unit = common.where(allowed).groupBy("key", "body", "unit", "size", "t").agg(F.count_distinct("bigram").alias("n_common"))
+
+    cued = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), once(F.split(normalised(F.col(f"`{text}`")), " ")).alias("words"))
+    cued = cued.where(may_match(F.col("words"), texts, min_dice)).select("key", F.md5("text").alias("body"), "text")
+    cued = scratch.save(cued, f"{path}/cued")
+    distinct = cued.groupBy("body").agg(F.first("text").alias("text"))
+    words = distinct.select("body", once(F.split(normalised(F.col("text")), " ")).alias("words"))
+    near = words.select("body", F.explode(bigrams(F.col("words"))).alias("bigram")).join(F.broadcast(index), "bigram")
+    near = near.select("body", F.explode("held").alias("t")).groupBy("body", "t").agg(F.count("*").alias("n"))
+    near = scratch.save(near.where(F.col("n") >= F.col("t.other") * ratio - 1e-9).select("body", "t"), f"{path}/near")
+    held = scratch.save(distinct.join(near.select("body").distinct(), "body", "left_semi"), f"{path}/held")
+
+    alone = _alone(held, index, least, most, may_match(F.col("words"), texts, min_dice), ratio)
     dice = 2 * F.col("n_common") / (F.col("size") + F.col("t.other"))
-    found = by_unit.withColumn("dice", dice).where(F.col("dice") >= min_dice)
-    found = found.select("key", "body", "unit", "size", "n_common", "dice", "t")
-    wrapped = runs(held.select("body", "text"), known, index, min_dice)
-    found = found.unionByName(held.select("key", "body").distinct().join(wrapped, "body"))
+    found = alone.withColumn("dice", dice).where(F.col("dice") >= min_dice).select("body", "unit", "size", "n_common", "dice", "t")
+    found = found.unionByName(runs(held, near, known, index, path, min_dice))
     found = found.withColumn("template", F.col("t.template")).join(F.broadcast(known.select("template", "license_id")), "template")
-    best = W.partitionBy("key", "body", "unit").orderBy(F.col("dice").desc(), "template", "size")
+    best = W.partitionBy("body", "unit").orderBy(F.col("dice").desc(), "template", "size")
     named = found.withColumn("rank", F.row_number().over(best)).where("rank = 1")
-    return named.select(F.col("key").alias(key), "unit", "license_id", F.col("size").cast("long").alias("n_bigrams"), "n_common", "dice")
+    named = named.select("body", "unit", "license_id", F.col("size").cast("long").alias("n_bigrams"), "n_common", "dice")
+
+    rows = cued.select("key", "body").distinct()
+    # bodies of more rows than this are fewer than HOT
+    bound = cued.count() // HOT
+    hot = cued.groupBy("body").agg(F.count("*").alias("n")).where(F.col("n") > max(bound, SALTS)).select("body", F.lit(True).alias("hot"))
+    rows = _spread(rows, hot, F.array(F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")))
+    named = _spread(named, hot, F.array(*[F.lit(k) for k in range(SALTS)]))
+    return rows.join(named, ["body", "salt"]).select(F.col("key").alias(key), "unit", "license_id", "n_bigrams", "n_common", "dice")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sensorlake.llm.license_scan import TEMPLATES
+from sensorlake.llm.license_scan import LICENCES
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -83,7 +83,7 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-_VALUES = ", ".join(f"({k}, {_quoted(name)}, {_quoted(text)})" for k, (name, text) in enumerate(TEMPLATES))
+_VALUES = ", ".join(f"({k}, {_quoted(name)}, {_quoted(text)})" for k, (name, text) in enumerate(LICENCES))
 
 
 _SPLIT = f"string_split(trim(regexp_replace({_lowered('body')}, '[^a-z0-9]+', ' ', 'g')), ' ')"

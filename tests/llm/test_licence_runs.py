@@ -72,3 +72,47 @@ def test_every_run_that_matches_is_near_one_that_is_found(spark):
             if unit <= license_scan.RUN:
                 assert any(m[1:3] == (common, size) and m[3] == -2 - unit for m in matches[name])
     assert seen > 20
+
+
+def test_wrapped_and_edited_licences_against_all_runs(spark):
+    """Every template but the longest, wrapped, with lines lost, doubled or changed, among prose with common words."""
+    rng = np.random.default_rng(8)
+    known = [(name, _pairs(text), text) for name, text in license_scan.LICENCES if len(_pairs(text)) < 250]
+    texts = {}
+    for k, (_, _, text) in enumerate(known):
+        lines = textwrap.wrap(" ".join(text.split()), int(rng.integers(25, 90)))
+        for _ in range(int(rng.integers(0, 1 + len(lines) // 5))):
+            at = int(rng.integers(0, len(lines)))
+            lines[at : at + 1] = [[], [lines[at]] * 2, [lines[at].replace("the", "a")]][int(rng.integers(0, 3))]
+        before = [*_prose(k, int(rng.integers(0, 4))), "the software is provided in any form", ""]
+        after = ["copy of the license", *_prose(k + 60, int(rng.integers(0, 4)))]
+        twice = [*after, *lines] if k % 4 == 0 else []
+        texts[k] = "\n".join([*before, *lines, *twice, *after])
+    table = spark.createDataFrame([*texts.items(), *((1000 + k, texts[3]) for k in range(200))], "doc_id long, text string")
+    got: dict = {}
+    for r in license_scan.scan(table).collect():
+        got.setdefault(r.doc_id, {}).setdefault(r.license_id, []).append((r.dice, r.unit, r.n_bigrams, r.n_common))
+    hits = 0
+    for k, text in texts.items():
+        lines = [_line(x) for x in text.split("\n")]
+        best: dict = {}
+        for a in range(len(lines)):
+            words: list[str] = []
+            for b in range(a, len(lines)):
+                words += lines[b]
+                own = set(zip(words, words[1:], strict=False))
+                for name, other, _ in known:
+                    if 0.6 < len(own) / len(other) < 1.6:
+                        best[name] = max(best.get(name, 0), 2 * len(own & other) / (len(own) + len(other)))
+        best = {name: dice for name, dice in best.items() if dice >= 0.8}
+        found = {name: max(rows)[0] for name, rows in got.get(k, {}).items()}
+        # where several templates match at one place the best is named
+        assert found.keys() <= best.keys() and (not best or max(found.values()) == pytest.approx(max(best.values()))), k
+        assert all(dice == pytest.approx(best[name]) for name, dice in found.items()) or len(best) > 1, k
+        hits += bool(best)
+    assert hits > 20
+    assert all(got[1000 + k] == got[3] for k in range(200))
+
+
+def _line(text: str) -> list[str]:
+    return re.sub("[^a-z0-9]+", " ", text.lower()).split()
