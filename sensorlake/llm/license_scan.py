@@ -19,9 +19,11 @@ hold, in all, as many of a template's bigrams as a match needs.
 A run begins and ends at lines with common bigrams, and counts if no line more
 or less at either end makes it better and it lies in no run as good; from every
 run that matches, such steps lead to one that counts, or to a line or the whole
-text. Lines from which on too few of a template's bigrams are left, or within
-reach, begin no run; the reach of a run ends where it would hold more bigrams
-that the text has only once than the size bound allows.
+text. A line with more bigrams than the size bound allows is in no run, so runs
+are looked for in the stretches between such lines, where a stretch holds enough
+common bigrams. Lines from which on too few of these are left, or within reach,
+begin no run; the reach ends where a run would hold more bigrams that the
+stretches have only once than the size bound allows.
 """
 
 from __future__ import annotations
@@ -183,40 +185,55 @@ def templates(spark: SparkSession, texts: tuple[tuple[str, str], ...] = TEMPLATE
     return rows.select("template", "license_id", bigrams(F.split(normalised(F.col("text")), " ")).alias("own"))
 
 
-def _occurrences(texts: DataFrame) -> DataFrame:
-    """Where bigrams are found in texts of several lines: body, bigram, first, last (the lines of its words)."""
-    cut = F.transform(
-        F.split("text", "\n"),
-        lambda line, k: F.transform(
-            F.filter(F.split(normalised(line), " "), lambda w: w != ""), lambda w: F.struct(k.alias("line"), w.alias("word"))
-        ),
-    )
+def _by_line(texts: DataFrame) -> DataFrame:
+    """Texts of several lines: body, lines (the words of each)."""
+    cut = F.transform(F.split("text", "\n"), lambda line: F.filter(F.split(normalised(line), " "), lambda w: w != ""))
+    return texts.where(F.contains("text", F.lit("\n"))).select("body", once(cut).alias("lines"))
+
+
+def _occurrences(by_line: DataFrame) -> DataFrame:
+    """Where bigrams are found: the columns of by_line but lines, bigram, first, last (the lines of its words)."""
+    kept = [c for c in by_line.columns if c != "lines"]
+    words = F.flatten(F.transform("lines", lambda line, k: F.transform(line, lambda w: F.struct(k.alias("line"), w.alias("word")))))
+    rows = by_line.select(*kept, once(words).alias("words")).where(F.size("words") > 1)
     words = F.col("words")
-    rows = texts.where(F.contains("text", F.lit("\n"))).select("body", once(F.flatten(cut)).alias("words")).where(F.size("words") > 1)
     both = F.zip_with(
         F.slice(words, 1, F.size(words) - 1),
         F.slice(words, 2, F.size(words) - 1),
         lambda x, y: F.struct(x.line.alias("first"), y.line.alias("last"), F.concat_ws(" ", x.word, y.word).alias("bigram")),
     )
-    return rows.select("body", F.explode(both).alias("at")).select("body", "at.*").distinct()
+    return rows.select(*kept, F.explode(both).alias("at")).select(*kept, "at.*")
+
+
+def _stretches(lines: DataFrame, common: DataFrame, near: DataFrame, ratio: float) -> DataFrame:
+    """Lines between which a run may lie: body, t, from, to.
+
+    lines: body, line and own, its bigrams. common: occurrences of bigrams of near templates, with t.
+    """
+    here = common.groupBy("body", "t", F.col("first").alias("line")).agg(F.count_distinct("bigram").alias("here"))
+    rows = lines.join(near, "body").join(here, ["body", "t", "line"], "left")
+    long = (F.col("own") > F.col("t.other") / ratio + 1e-9).cast("int")
+    rows = rows.withColumns({"long": long, "number": F.sum(long).over(W.partitionBy("body", "t").orderBy("line"))}).where("long = 0")
+    rows = rows.groupBy("body", "t", "number").agg(F.min("line").alias("from"), F.max("line").alias("to"), F.sum("here").alias("here"))
+    return rows.where((F.col("here") >= F.col("t.other") * ratio - 1e-9) & (F.col("from") < F.col("to"))).select("body", "t", "from", "to")
 
 
 def _starts(lines: DataFrame, common: DataFrame, ratio: float) -> DataFrame:
-    """Lines at which a run may begin: body, t, a, base.
+    """Lines at which a run may begin: body, t, a, to, base.
 
-    lines: body, last (the line) and before, how many bigrams that the text has
+    lines: body, last (the line) and before, how many bigrams that are found
     only once stand in earlier lines. common: occurrences of bigrams of near
-    templates, with t.
+    templates, with t and the stretch that they lie in.
     """
     need, most = F.col("t.other") * ratio - 1e-9, F.col("t.other") / ratio
-    here = common.groupBy("body", "t", F.col("first").alias("a")).agg(F.count_distinct("bigram").alias("here"))
+    here = common.groupBy("body", "t", "to", F.col("first").alias("a")).agg(F.count_distinct("bigram").alias("here"))
     last = common.groupBy("body", "t", "bigram").agg(F.max("first").alias("a")).groupBy("body", "t", "a").agg(F.count("*").alias("ends"))
     each = here.join(last, ["body", "t", "a"], "left").join(lines.withColumnRenamed("last", "a"), ["body", "a"])
     onward = W.partitionBy("body", "t").orderBy(F.desc("a"))
     each = each.withColumn("left", F.sum(F.coalesce("ends", F.lit(0))).over(onward)).withColumn("at", F.floor(1000 * F.col("before") / most))
     within = W.partitionBy("body", "t").orderBy("at").rangeBetween(0, 1000)
     each = each.withColumn("near", F.sum("here").over(within)).where((F.col("left") >= need) & (F.col("near") >= need))
-    return each.select("body", "t", "a", F.floor(F.col("before") / most).alias("base"))
+    return each.select("body", "t", "a", "to", F.floor(F.col("before") / most).alias("base"))
 
 
 def runs(texts: DataFrame, near: DataFrame, known: DataFrame, index: DataFrame, path: str, min_dice: float = MIN_DICE) -> DataFrame:
@@ -226,30 +243,39 @@ def runs(texts: DataFrame, near: DataFrame, known: DataFrame, index: DataFrame,
     it holds enough bigrams of; known, index: templates by number and by bigram.
     """
     ratio = min_dice / (2 - min_dice)
-    found = scratch.save(_occurrences(texts), f"{path}/occurrences")
-    once_only = found.groupBy("body", "bigram").agg(F.count("*").alias("n"), F.min("first").alias("first"), F.min("last").alias("last"))
-    once_only = once_only.where("n = 1 and first = last").groupBy("body", "last").agg(F.count("*").alias("own"))
-    lines = found.select("body", F.explode(F.array("first", "last")).alias("last")).distinct().join(once_only, ["body", "last"], "left")
+    by_line = _by_line(texts)
+    lines = by_line.select("body", F.posexplode(F.transform("lines", lambda w: F.struct(F.size(w).alias("words"), F.size(bigrams(w)).alias("own")))).alias("line", "at"))
+    lines = scratch.save(lines.select("body", "line", "at.*"), f"{path}/lines")
+    ends = lines.where("words > 0").groupBy("body").agg(F.min("line").alias("top"), F.max("line").alias("bottom"))
+    common = _occurrences(by_line).join(F.broadcast(index), "bigram").select("body", "bigram", "first", "last", F.explode("held").alias("t"))
+    common = scratch.save(common.join(near, ["body", "t"], "left_semi").distinct(), f"{path}/common")
+    stretches = scratch.save(_stretches(lines, common, near, ratio), f"{path}/stretches")
+
+    between = stretches.groupBy("body").agg(F.collect_set(F.struct("from", "to")).alias("between"))
+    found = _occurrences(by_line.join(between, "body"))
+    found = found.where(F.exists("between", lambda s: (F.col("first") >= s["from"]) & (F.col("last") <= s["to"])))
+    found = scratch.save(found.select("body", "bigram", "first", "last").distinct(), f"{path}/occurrences")
+    alone = found.groupBy("body", "bigram").agg(F.count("*").alias("n"), F.min("first").alias("first"), F.min("last").alias("last"))
+    alone = alone.where("n = 1 and first = last").groupBy("body", "last").agg(F.count("*").alias("own"))
+    places = found.select("body", F.explode(F.array("first", "last")).alias("last")).distinct().join(alone, ["body", "last"], "left")
     earlier = W.partitionBy("body").orderBy("last").rowsBetween(W.unboundedPreceding, -1)
-    lines = lines.select("body", "last", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("before"))
-    inside = found.join(lines, ["body", "last"])
-    ends = found.groupBy("body").agg(F.min("first").alias("top"), F.max("last").alias("bottom"))
-
-    common = found.join(F.broadcast(index), "bigram").select("body", "bigram", "first", F.explode("held").alias("t"))
-    common = common.join(near, ["body", "t"], "left_semi")
-    # a run that matches, and the next line that adds to it, lie in these two stretches of the text
-    starts = _starts(lines, common, ratio)
+    places = places.select("body", "last", F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("before"))
+
+    common = common.join(stretches, ["body", "t"]).where("first >= from and last <= to")
+    # a run that matches, and the next line that adds to it, lie in these two parts of the text
+    starts = _starts(places, common, ratio)
     starts = starts.withColumn("base", F.explode(F.array("base", F.col("base") + 1)))
-    inside = inside.join(near, "body").withColumn("base", F.floor(F.col("before") / (F.col("t.other") / ratio)))
+    inside = found.join(places, ["body", "last"]).join(stretches, "body").where("first >= from and last <= to")
+    inside = inside.withColumn("base", F.floor(F.col("before") / (F.col("t.other") / ratio))).drop("from")
 
     # a bigram is in all runs from its first place after a
-    new = starts.join(inside, ["body", "t", "base"]).where(F.col("first") >= F.col("a"))
-    new = new.groupBy("body", "t", "a", "bigram").agg(F.min("last").alias("b"))
+    new = starts.join(inside, ["body", "t", "to", "base"]).where(F.col("first") >= F.col("a"))
+    new = new.groupBy("body", "t", "to", "a", "bigram").agg(F.min("last").alias("b"))
     own = known.select(F.col("template").alias("of"), F.explode("own").alias("bigram"), F.lit(1).alias("common"))
     new = new.withColumn("of", F.col("t.template")).join(F.broadcast(own), ["of", "bigram"], "left")
-    each = new.groupBy("body", "t", "a", "b").agg(F.count("*").alias("n"), F.count("common").alias("c"))
+    each = new.groupBy("body", "t", "to", "a", "b").agg(F.count("*").alias("n"), F.count("common").alias("c"))
     longer, later = W.partitionBy("body", "t", "a").orderBy("b"), W.partitionBy("body", "t", "b").orderBy("a")
-    each = each.withColumns({"size": F.sum("n").over(longer), "n_common": F.sum("c").over(longer), "reach": F.coalesce(F.lead("b").over(longer) - 1, F.lit(2**31 - 1))})
+    each = each.withColumns({"size": F.sum("n").over(longer), "n_common": F.sum("c").over(longer), "reach": F.coalesce(F.lead("b").over(longer) - 1, "to")})
     each = each.where("c > 0")
     each = each.withColumn("dice", 2 * F.col("n_common") / (F.col("size") + F.col("t.other")))
     less = F.greatest(F.coalesce(F.lag("dice").over(longer), F.lit(0.0)), F.coalesce(F.lead("dice").over(later), F.lit(0.0)))
@@ -258,8 +284,8 @@ def runs(texts: DataFrame, near: DataFrame, known: DataFrame, index: DataFrame,
     best = each.where((F.col("dice") >= min_dice) & (F.col("dice") > F.col("less")) & (F.col("dice") >= F.col("more")) & (F.col("a") < F.col("b")))
     best = scratch.save(best, f"{path}/runs")
     # a run inside an equal or better one, of whatever template, goes; lines that add nothing new count as inside
-    wider = best.select("body", F.col("a").alias("from"), F.col("b").alias("to"), F.col("reach").alias("until"), F.col("dice").alias("over"))
-    around = ((F.col("from") < F.col("a")) & (F.col("until") >= F.col("b"))) | ((F.col("from") == F.col("a")) & (F.col("to") > F.col("b")))
+    wider = best.select("body", F.col("a").alias("from"), F.col("b").alias("upto"), F.col("reach").alias("until"), F.col("dice").alias("over"))
+    around = ((F.col("from") < F.col("a")) & (F.col("until") >= F.col("b"))) | ((F.col("from") == F.col("a")) & (F.col("upto") > F.col("b")))
     best = best.drop("reach").join(wider, (best["body"] == wider["body"]) & around & (F.col("over") >= F.col("dice")), "left_anti")
     best = best.join(ends, "body").where((F.col("a") > F.col("top")) | (F.col("b") < F.col("bottom")))
     return best.select("body", (F.lit(RUN) - F.col("a")).alias("unit"), "size", "n_common", "dice", "t")
