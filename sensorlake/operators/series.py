@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from sensorlake.functions import plan, times
 
 TIME = "_time"
-#: When a stored point was written; the last write of a point counts.
+#: Columns that a pivot may find.
+MOST_COLUMNS = 2000
+#: The number of the write of a stored point; the last write of a point counts.
 WRITTEN = "_written"
 
 
@@ -160,12 +162,14 @@ def pivot_found(
     value: str = "_value",
     order: str | None = None,
 ) -> DataFrame:
-    """Pivot on the names present, whatever their number.
+    """Pivot on the names present, ``MOST_COLUMNS`` at most.
 
     Finding the names is a job of its own over that one column. They become
-    columns of the plan, so they must fit it; ``pivot_map`` has no such limit.
+    columns of the plan, so more of them are an error; ``pivot_map`` takes any number.
     """
-    found = df.select(names).filter(F.col(names).isNotNull()).distinct().collect()
+    found = df.select(names).filter(F.col(names).isNotNull()).distinct().limit(MOST_COLUMNS + 1).collect()
+    if len(found) > MOST_COLUMNS:
+        raise ValueError(f"{names} has more than {MOST_COLUMNS} names; use pivot_map")
     return pivot(df, keys, names, sorted(row[0] for row in found), value=value, order=order)
 
 

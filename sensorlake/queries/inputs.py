@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -199,6 +202,34 @@ def log_lines(documents: DataFrame) -> DataFrame:
     return lines.select("doc_id", F.col("pos").alias("line_no"), line.alias("value"))
 
 
+def grow_logs(lines: DataFrame, folder: str, part: int, *, rotate: bool = False) -> None:
+    """Let the log file of each pod grow by its lines of a part; ``rotate`` renames every second file first.
+
+    Tasks write as a container runtime does, to a place that all machines see. A
+    task that runs again finds out from the lines of earlier parts where its own
+    begin, and writes them there again.
+    """
+    folder = folder.removeprefix("file://")
+
+    def write(rows):
+        for pod, own in itertools.groupby(rows, key=lambda row: row["pod"]):
+            texts: dict[int, list[str]] = {}
+            for row in own:
+                texts.setdefault(row["part"], []).append(row["value"] + "\n")
+            place = f"{folder}/ns_pod-{pod}/app"
+            os.makedirs(place, exist_ok=True)
+            renamed = rotate and pod % 2 == 0
+            if renamed and not os.path.exists(f"{place}/0.log.rotated"):
+                os.rename(f"{place}/0.log", f"{place}/0.log.rotated")
+            before = "" if renamed else "".join("".join(texts.get(p, [])) for p in range(part))
+            with open(f"{place}/0.log", "r+b" if os.path.exists(f"{place}/0.log") else "w+b") as file:
+                file.seek(len(before.encode()))
+                file.write("".join(texts.get(part, [])).encode())
+
+    parts = lines.filter(F.col("part") <= part).repartition(8, "pod")
+    parts.sortWithinPartitions("pod", "part", "value").foreachPartition(write)
+
+
 def node_documents(orders: DataFrame) -> DataFrame:
     """An inventory document per order: one full node and one with parts missing."""
     role = F.lower(F.substring_index("o_orderpriority", "-", -1))

@@ -388,4 +388,31 @@ SQL: dict[str, str] = {
         CAST(sum(CASE WHEN hit THEN length(piece) END) AS BIGINT) AS message_chars,
         CAST(sum(length(stamp || ' stdout F ' || piece)) AS BIGINT) AS body_chars,
         count(*) FILTER (WHERE hit) AS timed FROM lines GROUP BY ALL""",
+    "stream_log_growth": f"""WITH {_LOG_LINES}, bodies AS (
+            SELECT stamp || ' stdout F ' || piece AS body, count(*) AS times FROM lines GROUP BY 1)
+        SELECT length(body) AS chars, CAST(sum(times) AS BIGINT) AS lines, count(*) AS texts FROM bodies GROUP BY 1""",
+    "stream_fan_out_once": f"""WITH {_DETECTIONS} SELECT type, count(*) AS in_table,
+        count(*) AS in_second FROM d WHERE confidence >= 0.9 GROUP BY type""",
+    "stream_rollup": """SELECT event_type, count(*) AS "count", round(avg(value), 6) AS mean,
+        round(stddev_samp(value), 6) AS std, min(value) AS min, max(value) AS max, min(ts) AS first_time,
+        max(ts) AS last_time, arg_min(value, ts) AS first_value, arg_max(value, ts) AS last_value,
+        TRUE AS p25_near, TRUE AS p50_near, TRUE AS p75_near FROM events GROUP BY event_type""",
+    "stream_progress": """SELECT count(*) AS input_rows, 3 AS batches, 1 AS failures, 1 AS ended FROM events""",
+    "debug_sink": f"""WITH {_DETECTIONS}
+        SELECT id, type, round(confidence, 6) AS confidence FROM d WHERE confidence >= 0.99""",
+    "table_compaction": """SELECT *, (SELECT count(*) FROM events) AS rows_during, TRUE AS fewer_files,
+        TRUE AS old_removed FROM events""",
+    "points_compaction": f"""WITH {_POINTS} SELECT * EXCLUDE (_value),
+            max(_value + CASE WHEN host = 'click' THEN 2 ELSE 1 END) AS _value, TRUE AS stored_once FROM points
+        WHERE _time >= TIMESTAMP '2024-01-05' AND _time < TIMESTAMP '2024-01-25'
+          AND _measurement = 'network_traffic' AND _field = 'rx_mibps' GROUP BY ALL""",
+    "retention_drop": """SELECT *, FALSE AS again, TRUE AS later_untouched FROM events
+        WHERE ts >= TIMESTAMP '2024-01-24 12:00:00'""",
+    "schema_changes": """SELECT event_id,
+            CASE WHEN event_type IN ('click', 'view') THEN CAST(trunc(value) AS DOUBLE) ELSE value END AS amount,
+            CASE WHEN event_type NOT IN ('click', 'view') THEN props END AS props,
+            'amount: string does not go into double' AS why, 1 AS refused_columns FROM events""",
+    "metric_pivot_map": f"""WITH {_METRICS} SELECT _time, metric, arg_max(_value, seq) AS value
+        FROM m WHERE _value IS NOT NULL GROUP BY ALL""",
+    "named_result": "SELECT event_type, count(*) AS n, max(ts) AS latest FROM events GROUP BY event_type",
 }

@@ -8,8 +8,11 @@ from pyspark.sql import types as T
 
 from sensorlake import schemas
 from sensorlake.operators import inventory, logs, metrics
+from sensorlake.sources import growing
 
 LOG_GLOB = "/var/log/pods/*/*/*.log"
+# Rotated files keep their name with a time after it.
+GROWING_GLOB = "/var/log/pods/*/*/*.log*"
 
 
 def metric_files(
@@ -29,7 +32,7 @@ def log_files(spark: SparkSession, path: str = LOG_GLOB) -> DataFrame:
 def log_stream(
     spark: SparkSession, path: str = LOG_GLOB, *, max_files: int | None = None
 ) -> DataFrame:
-    """Log files as a stream, from their beginning."""
+    """Log files that are landed whole, as a stream; lines added to one later are not read (``log_tail``)."""
     reader = spark.readStream.format("text")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
@@ -37,6 +40,18 @@ def log_stream(
     return logs.parse_logs(lines, keep=["path"])
 
 
+def log_tail(spark: SparkSession, path: str = GROWING_GLOB, *, fail_on_loss: bool = True, part_bytes: int = growing.PART_BYTES) -> DataFrame:
+    """The lines of log files that grow and are rotated, each once, as a stream.
+
+    A file that vanishes with lines unread fails the stream, unless
+    ``fail_on_loss`` is off.
+    """
+    spark.dataSource.register(growing.GrowingText)
+    reader = spark.readStream.format("growing_text").option("path", path)
+    lines = reader.option("fail_on_loss", str(fail_on_loss).lower()).option("part_bytes", part_bytes).load()
+    return logs.parse_logs(lines, keep=["path"])
+
+
 def inventory_files(
     spark: SparkSession, path: str, item: T.StructType, *, one_per_file: bool = True
 ) -> DataFrame:

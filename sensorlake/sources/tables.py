@@ -8,13 +8,13 @@ from datetime import datetime
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sensorlake import schemas
 from sensorlake.operators import series
-
-# Bookkeeping columns of tables written batch by batch.
-BATCH_COLUMNS = ("query_id", "batch_id")
+from sensorlake.sinks import ledger
+from sensorlake.sinks.ledger import BATCH_COLUMNS
 
 
 def lake_scan(
@@ -28,20 +28,43 @@ def lake_scan(
 ) -> DataFrame:
     """A table at a path, without the bookkeeping columns of its batches.
 
-    ``merge_schema`` reads every file footer to find all columns; give
-    ``schema`` instead where the columns are known.
+    Batches that were rewritten or dropped are left out, and the columns are
+    those that writers have noted. Where none are noted, ``merge_schema`` reads
+    every file footer to find them all; give ``schema`` where they are known.
     """
+    state = ledger.read(spark, path) if fmt != "delta" else ledger.State()
+    schema = schema or state.columns
     reader = spark.read.format(fmt)
     if schema is not None:
         reader = reader.schema(schema)
-    if merge_schema:
+    elif merge_schema:
         reader = reader.option("mergeSchema", "true")
     df = load(reader, fmt, path)
     if set(BATCH_COLUMNS) <= set(df.columns):
-        df = df.drop(*BATCH_COLUMNS)
+        df = ledger.visible(df, state).drop(*BATCH_COLUMNS)
     return df.select(*[f"`{name}`" for name in columns]) if columns else df
 
 
+def read_files(spark: SparkSession, path: str, state: ledger.State) -> DataFrame:
+    """All files of a table with their partition columns, in the noted columns where there are such."""
+    types = {"_measurement": T.StringType(), "date": T.DateType(), "query_id": T.StringType(), "batch_id": T.LongType()}
+    known = state.columns
+    if known is None:
+        known = spark.read.parquet(path).schema
+    fields = [T.StructField(f.name, types.get(f.name, f.dataType)) for f in known.fields]
+    if state.columns is not None:
+        parts = spark.read.schema(known).parquet(path).columns
+        fields += [T.StructField(n, types[n]) for n in parts if n in types and n not in known.fieldNames()]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
+def stamped(points: DataFrame) -> DataFrame:
+    """Points with the number of their write, by which the last one counts, in place of batch columns."""
+    if set(BATCH_COLUMNS) <= set(points.columns):
+        return points.withColumn(series.WRITTEN, F.col("batch_id")).drop(*BATCH_COLUMNS)
+    return points
+
+
 def load(reader, fmt: str, path: str | None = None) -> DataFrame:
     with connector(fmt):
         return reader.load(path) if path else reader.load()
@@ -62,10 +85,8 @@ def connector(fmt: str) -> Iterator[None]:
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:
     """All stored points, repeated ones too; names and dates of partitions keep their types."""
-    known = spark.read.parquet(path).schema
-    types = {"_measurement": T.StringType(), "date": T.DateType()}
-    schema = T.StructType([T.StructField(f.name, types.get(f.name, f.dataType)) for f in known.fields])
-    return spark.read.schema(schema).parquet(path)
+    state = ledger.read(spark, path)
+    return stamped(ledger.visible(read_files(spark, path, state), state))
 
 
 def points_scan(

@@ -16,9 +16,11 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from sensorlake import schemas
-from sensorlake.operators import decode
+from sensorlake.operators import decode, rollups
+from sensorlake.operators.series import TIME
+from sensorlake.sinks import evolve, ledger
 from sensorlake.sinks import tables as sinks
-from sensorlake.sources.tables import BATCH_COLUMNS
+from sensorlake.sinks.ledger import BATCH_COLUMNS
 
 log = logging.getLogger(__name__)
 
@@ -54,13 +56,19 @@ def start_append(
 ) -> StreamingQuery:
     """Append a stream to a table, which other streams and batch appends may write too.
 
-    A batch that is run again replaces what it wrote before. A query with a
-    fresh checkpoint is another writer, whose rows are added.
+    A batch that is run again changes nothing. A query with a fresh checkpoint
+    is another writer, whose rows are added. Columns are compared with those of
+    the table at the start, as for a batch append.
     """
     _check_apart(path, checkpoint)
     sinks.check_layout(rows.sparkSession, path, fmt)
+    table = None
+    if fmt == "parquet":
+        plain = T.StructType([f for f in rows.schema.fields if f.name not in partition_by])
+        table = evolve.settle(rows.sparkSession, path, plain)
 
     def store(batch: DataFrame, batch_id: int) -> None:
+        batch = evolve.fitted(batch, table) if table is not None else batch
         _write_batch(batch, path, fmt, _query_id(batch), batch_id, partition_by)
 
     return _foreach(rows, store, checkpoint, every, available_now)
@@ -125,31 +133,65 @@ def start_sensor_append(
     return _foreach(messages, store, checkpoint, every, available_now)
 
 
+def start_rollup(
+    rows: DataFrame,
+    path: str,
+    checkpoint: str,
+    *,
+    keys: Sequence[str],
+    value: str = "_value",
+    time: str = TIME,
+    every: str = EVERY,
+    available_now: bool = False,
+) -> StreamingQuery:
+    """Keep summaries of series by date: each batch adds the states of its own rows, and no row is read again."""
+    _check_apart(path, checkpoint)
+    sinks.check_layout(rows.sparkSession, path)
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        found = rollups.states(batch, keys, value=value, time=time)
+        _write_batch(found, path, "parquet", _query_id(batch), batch_id, [rollups.DATE])
+
+    return _foreach(rows, store, checkpoint, every, available_now)
+
+
 def start_fan_out(
     rows: DataFrame,
     path: str,
     checkpoint: str,
     *,
-    second: Callable[[DataFrame, int], None] | None = None,
+    second: str | Callable[[DataFrame, int], None] | None = None,
+    transform: Callable[[DataFrame], DataFrame] | None = None,
     fmt: str = "parquet",
     every: str = EVERY,
     available_now: bool = False,
 ) -> StreamingQuery:
     """Feed a table and a second output from one read of the source.
 
-    The second output shows some rows on the console unless one is given; it
-    gets the batch and its id, and may see a batch again after a failure.
+    The second output shows some rows on the console unless one is given: the
+    path of a table, which gets the batch or what ``transform`` makes of it and
+    holds each batch once, whatever fails; or a function of the batch and its
+    id. Each output notes the batches it has done, so after a failure only those
+    that are missing run again. A function may see a batch again only if the
+    failure came before it returned.
     """
     _check_apart(path, checkpoint)
+    if isinstance(second, str):
+        _check_apart(second, checkpoint)
+        sinks.check_layout(rows.sparkSession, second, fmt)
 
     def store(batch: DataFrame, batch_id: int) -> None:
+        spark, query_id = batch.sparkSession, _query_id(batch)
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            _write_batch(batch, path, fmt, _query_id(batch), batch_id)
+            _write_batch(batch, path, fmt, query_id, batch_id)
             if second is None:
                 batch.show(truncate=False)
-            else:
+            elif isinstance(second, str):
+                _write_batch(transform(batch) if transform else batch, second, fmt, query_id, batch_id)
+            elif ledger.done(spark, path, f"{query_id}.second", batch_id) is None:
                 second(batch, batch_id)
+                ledger.mark(spark, path, f"{query_id}.second", batch_id, 0)
         finally:
             batch.unpersist()
 
@@ -162,34 +204,31 @@ def start_export(
     checkpoint: str,
     *,
     max_records: int = EXPORT_RECORDS,
-    split: bool = False,
+    split: bool = True,
     fmt: str = "parquet",
     every: str = EVERY,
     available_now: bool = False,
 ) -> StreamingQuery:
-    """Flush what has arrived every second, or ``max_records`` rows of it.
-
-    With ``split`` a batch of any size is written, as flushes of ``max_records``
-    rows and a last one of the rest. Their number is the column ``flush``, by
-    which the table is partitioned. Without it a flush is a batch. The source
-    bounds it (``max_offsets`` of a topic, ``max_files`` of files that hold no
-    more); a batch above the bound is an error that says so, and never a loss.
-    Files are as large as the flushes.
+    """Flush what has arrived every second, as flushes of ``max_records`` rows and a last one of the rest.
+
+    A batch may have any size; the number of a row's flush is the column
+    ``flush``. A file holds whole flushes where a task has several, and files
+    are as few as the tasks that read the batch. Without ``split`` a flush is a
+    batch: the source bounds it (``max_offsets`` of a topic, ``max_files`` of
+    files that hold no more), and a batch above the bound is an error that says so.
     """
     _check_apart(path, checkpoint)
     sinks.check_layout(rows.sparkSession, path, fmt)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        if split:
-            batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
-            try:
-                _write_batch(_flushes(batch, max_records), path, fmt, _query_id(batch), batch_id, ["flush"])
-            finally:
-                batch.unpersist()
-            return
-        stored = _write_batch(batch.coalesce(1), path, fmt, _query_id(batch), batch_id)
-        if stored > max_records:
-            raise ValueError(f"a batch has {stored} rows, above {max_records}: bound it at the source")
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            if not split and (found := batch.count()) > max_records:
+                raise ValueError(f"a batch has {found} rows, above {max_records}: bound it at the source")
+            flushed = _flushes(batch, max_records) if split else batch
+            _write_batch(flushed, path, fmt, _query_id(batch), batch_id)
+        finally:
+            batch.unpersist()
 
     return _foreach(rows, store, checkpoint, every, available_now)
 
@@ -207,7 +246,7 @@ def read_batches(spark: SparkSession, path: str, schema: T.StructType | None = N
         names = set(schema.fieldNames())
         extra = [field for field in marks.fields if field.name not in names]
         reader = reader.schema(T.StructType([*schema.fields, *extra]))
-    return reader.parquet(path).drop(*BATCH_COLUMNS)
+    return ledger.visible(reader.parquet(path), ledger.read(spark, path)).drop(*BATCH_COLUMNS)
 
 
 def _flushes(rows: DataFrame, max_records: int) -> DataFrame:
@@ -239,25 +278,25 @@ def _write_batch(
     """Write one micro-batch so that writing it twice changes nothing; count its rows.
 
     Delta drops a repeated batch by its transaction mark. Plain files go to
-    folders of their own, below those of the partitions, that a repeat
-    overwrites. The query id, kept in the checkpoint, separates the batches of a
-    query started afresh.
+    folders of their own, below those of the partitions; a batch that is marked
+    as written whole is not written again, and else a repeat overwrites it. The
+    query id, kept in the checkpoint, separates the batches of a query started
+    afresh.
     """
+    if fmt != "delta":
+        return sinks.write_batch(rows, path, query_id, batch_id, fmt=fmt, partition_by=partition_by)
     counted = Observation()
     rows = rows.observe(counted, F.count(F.lit(1)).alias("rows"))
-    if fmt == "delta":
-        writer = (
-            rows.write.format(fmt)
-            .mode("append")
-            .option("mergeSchema", "true")
-            .option("txnAppId", f"{query_id}:{path}")
-            .option("txnVersion", batch_id)
-        )
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.save(path)
-    else:
-        sinks.write_batch(rows, path, query_id, batch_id, fmt=fmt, partition_by=partition_by)
+    writer = (
+        rows.write.format(fmt)
+        .mode("append")
+        .option("mergeSchema", "true")
+        .option("txnAppId", f"{query_id}:{path}")
+        .option("txnVersion", batch_id)
+    )
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.save(path)
     return int(counted.get["rows"])
 
 

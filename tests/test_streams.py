@@ -166,7 +166,7 @@ def test_export_bounds_the_batch_size(spark, topic, place):
     assert sorted(r["count"] for r in sizes.collect()) == [5, 10, 10]
     with pytest.raises(Exception, match="bound it at the source"):
         jobs.start_export(topic.stream(), place("out2"), place("marks2"), max_records=10,
-                          available_now=True).awaitTermination(120)
+                          split=False, available_now=True).awaitTermination(120)
 
 
 def test_streams_and_appends_share_a_table(spark, topic, place):
