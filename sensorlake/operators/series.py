@@ -18,7 +18,7 @@ from sensorlake.functions import plan, times
 
 TIME = "_time"
 #: Columns that a pivot may find.
-MOST_COLUMNS = 2000
+MOST_COLUMNS = 10_000
 #: The number of the write of a stored point; the last write of a point counts.
 WRITTEN = "_written"
 
@@ -181,11 +181,10 @@ def pivot_map(
     value: str = "_value",
     order: str | None = None,
 ) -> DataFrame:
-    """One row per key with a map of name to value, for names without a bound."""
+    """One row per key with a map of name to value, for names without a bound; ``order`` as in ``pivot``."""
     order = order or (WRITTEN if WRITTEN in df.columns else None)
-    rank = F.struct(order, value) if order else F.col(value)
     cells = df.filter(F.col(names).isNotNull()).groupBy(*keys, names)
-    cells = cells.agg(F.max_by(value, rank).alias(value))
+    cells = cells.agg((F.max_by(value, order) if order else F.max(value)).alias(value))
     entries = F.sort_array(F.collect_list(F.struct(names, value)))
     return cells.groupBy(*keys).agg(F.map_from_entries(entries).alias("values"))
 

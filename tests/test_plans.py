@@ -20,7 +20,7 @@ def test_plan(spark, name):
     scans = {"union_series": 3}.get(name, 1)
     assert plan.count("FileScan parquet") == scans
     # The pivot's key, and a second key only where its rows are grouped again.
-    twice = name in ("results_filter", "series_describe", "traffic_describe")
+    twice = name in ("results_filter", "series_describe", "traffic_describe", "metric_pivot_map")
     assert plan.count("Exchange hashpartitioning") <= 1 + twice
 
 
