@@ -11,9 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sensorlake.llm import scratch
+
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = "mix-1"
+#: The table of sources is broadcast up to this size.
+BROADCAST_BYTES = 32 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -72,9 +76,11 @@ def rates(
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"))
     held = held.select("row", F.col(f"row.`{source}`").alias("source"), size_of(F.col(f"row.`{text}`")).alias("size"))
-    table = targets(held.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
-    table = table.withColumnRenamed("source", "name")
-    both = held.join(table, F.col("source").eqNullSafe(F.col("name")))
+    sums = held.groupBy("source").agg(F.sum("size").alias("source_size"))
+    table = scratch.save(targets(sums, weights, cap).withColumnRenamed("source", "name"), f"{scratch.folder(docs.sparkSession)}/targets")
+    # a row of a source goes nowhere as long as the table of sources fits everywhere
+    size = table.agg(F.sum(F.coalesce(F.octet_length("name"), F.lit(0)) + 64)).first()[0] or 0
+    both = held.join(F.broadcast(table) if size <= BROADCAST_BYTES else table, F.col("source").eqNullSafe(F.col("name")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     both = both.withColumn("rate", rate)
     extra = draw(seed, F.col(f"row.`{key}`"), F.col(f"row.`{text}`")) < F.col("rate") - F.floor("rate")
