@@ -1,9 +1,9 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule rejects documents by a count over their text. On a sample the cost
-(CPU seconds) and the share of rejections of each rule are measured; rules then
-run in the order of rejections per cost, and a rule sees only the documents that
-all rules before it let pass. A document is kept if no rule rejects it, so
+Each rule rejects documents by a count over their text. On a sample, a few rows of
+each partition, the cost (CPU seconds) and the share of rejections of each rule
+are measured where the rows lie; rules then run in the order of rejections per
+cost, and a rule sees only the documents that all rules before it let pass. A document is kept if no rule rejects it, so
 the order changes the time and never the verdict.
 """
 
@@ -22,8 +22,9 @@ from pyspark.sql import types as T
 from sensorlake.llm import blocks, words
 from sensorlake.llm.words import Words
 
-#: Rows on which costs and rejections are estimated.
-SAMPLE_ROWS = 2000
+#: Rows of a partition on which costs and rejections are estimated, and bytes of their texts.
+SAMPLE_ROWS = 128
+SAMPLE_BYTES = 1 << 20
 REPEAT = 5
 
 
@@ -90,53 +91,70 @@ def _shouted(part: Words) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Rule:
-    """rejects: for the texts of a part, whether each is rejected."""
+    """count: a number of each text of a part; rejects: whether a text goes, by its count."""
 
     name: str
-    rejects: Callable[[Words], np.ndarray]
+    count: Callable[[Words], np.ndarray]
+    rejects: Callable[[np.ndarray, Words], np.ndarray]
 
 
 #: Every text of fewer words, or with more than this share of repeated ones, fails the base.
 BASE = (
-    Rule("few words", lambda p: p.counts < 10),
-    Rule("repeated words", lambda p: 100 * repeated_words(p) > 20 * p.counts),
+    Rule("n_words", lambda p: p.counts, lambda n, p: n < 10),
+    Rule("n_repeat_words", repeated_words, lambda n, p: 100 * n > 20 * p.counts),
 )
 FURTHER = (
-    Rule("symbols", lambda p: 10 * symbols(p) > p.counts),
-    Rule("repeated lines", lambda p: 2 * duplicate_lines(p) > _lines(p)),
-    Rule("capitals", lambda p: 2 * _shouted(p) > p.counts),
-    Rule("exclamations", lambda p: 2 * p.bytes_in(_CRIES) > p.counts),
-    Rule("word length", lambda p: (p.code_points() < 2 * p.counts) | (p.code_points() > 20 * p.counts)),
+    Rule("n_symbols", symbols, lambda n, p: 10 * n > p.counts),
+    Rule("n_dup_lines", duplicate_lines, lambda n, p: 2 * n > _lines(p)),
+    Rule("shouted", _shouted, lambda n, p: 2 * n > p.counts),
+    Rule("cries", lambda p: p.bytes_in(_CRIES), lambda n, p: 2 * n > p.counts),
+    Rule("word_chars", lambda p: p.code_points(), lambda n, p: (n < 2 * p.counts) | (n > 20 * p.counts)),
 )
 RULES = BASE + FURTHER
 
 
-def cascade(part: Words, rules: tuple[Rule, ...], alive: np.ndarray | None = None) -> np.ndarray:
-    """Whether each text passes all rules; texts that are not alive are not looked at."""
+def cascade(
+    part: Words, rules: tuple[Rule, ...], alive: np.ndarray | None = None, known: dict[str, np.ndarray] | None = None
+) -> np.ndarray:
+    """Whether each text passes all rules; texts that are not alive are not looked at.
+
+    known: counts by name that are there already and are not made again.
+    """
     left = np.arange(len(part.counts)) if alive is None else np.flatnonzero(alive)
     for rule in rules:
         if not len(left):
             break
-        left = left[~rule.rejects(part.take(left))]
+        own = part.take(left)
+        counts = known[rule.name][left] if known and rule.name in known else rule.count(own)
+        left = left[~rule.rejects(counts, own)]
     out = np.zeros(len(part.counts), dtype=bool)
     out[left] = True
     return out
 
 
-def ordered(docs: DataFrame, text: str, rules: tuple[Rule, ...], rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
-    """The rules by rejections per CPU second, as measured on ``rows`` rows of docs."""
+def ordered(docs: DataFrame, text: str, rules: tuple[Rule, ...], rows: int = SAMPLE_ROWS, known: tuple[str, ...] = ()) -> tuple[Rule, ...]:
+    """The rules by rejections per CPU second, as measured on the first ``rows`` rows of each partition of docs.
+
+    A task looks at its first batch of rows and leaves the rest unread; a row per
+    rule and task is what it sends on. known: counts that cost a rule nothing.
+    """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spent, lost = np.zeros(len(rules)), np.zeros(len(rules))
         for batch in batches:
-            for part in words.split(batch.column(0)):
+            _, places = words.utf8(batch.column(0).slice(0, rows))
+            fit = max(1, int(np.searchsorted(places, SAMPLE_BYTES, side="right")) - 1)
+            for part in words.split(batch.column(0).slice(0, min(rows, fit))):
                 for k, rule in enumerate(rules):
+                    counts = rule.count(part) if rule.name in known else None
                     begun = time.thread_time()
-                    lost[k] += rule.rejects(part).sum()
+                    counts = rule.count(part) if counts is None else counts
+                    lost[k] += rule.rejects(counts, part).sum()
                     spent[k] += time.thread_time() - begun
+            break
         yield pa.RecordBatch.from_pydict({"rule": np.arange(len(rules)), "spent": spent, "lost": lost})
 
-    sample = docs.select(F.col(f"`{text}`").alias("text")).where("pmod(xxhash64(text), 16) = 0").limit(rows)
+    sample = docs.select(F.col(f"`{text}`").alias("text"))
     found = sample.mapInArrow(measure, "rule long, spent double, lost double").groupBy("rule").agg(F.sum("spent"), F.sum("lost"))
     rate = {k: lost / max(spent, 1e-9) for k, spent, lost in found.collect()}
     return tuple(rules[k] for k in sorted(range(len(rules)), key=lambda k: (-rate.get(k, 0.0), k)))
@@ -157,7 +175,7 @@ def measure(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = FURTH
     """
     names = [f for f in docs.schema.fields if f.name not in (*_MEASURES, "base_failed", "kept")]
     docs = docs.select(*[F.col(f"`{f.name}`") for f in names])
-    order = ordered(docs, text, rules)
+    order = ordered(docs, text, rules, known=_MEASURES)
     schema = T.StructType(
         [*names, *[T.StructField(m, T.LongType()) for m in _MEASURES], T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType())]
     )
@@ -165,11 +183,11 @@ def measure(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = FURTH
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in words.split(batch.column(text)):
-                repeated = repeated_words(part)
-                failed = (part.counts < 10) | (100 * repeated > 20 * part.counts)
-                counts = (part.counts, part.code_points(), symbols(part), duplicate_lines(part), repeated)
+                counts = {rule.name: rule.count(part) for rule in RULES if rule.name in _MEASURES}
+                base = cascade(part, BASE, known=counts)
+                kept = cascade(part, order, base, counts)
                 out = batch.slice(part.first, len(part.counts))
-                arrays = [*out.columns, *[pa.array(c, pa.int64()) for c in counts], pa.array(failed), pa.array(cascade(part, order, ~failed))]
+                arrays = [*out.columns, *[pa.array(counts[m], pa.int64()) for m in _MEASURES], pa.array(~base), pa.array(kept)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*out.schema.names, *_MEASURES, "base_failed", "kept"])
 
     return docs.mapInArrow(run, schema)
