@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorlake.llm import scratch, words
+from sensorlake.llm import scratch, skew, words
 
 CACHE_SCHEMA = "tokenizer string, digest string, n_tokens long"
 #: Bytes of text that are encoded in one call.
@@ -103,11 +103,16 @@ def count(docs: DataFrame, tokenizer: str, cache_path: str, text: str = "text")
     body = F.col(f"row.`{text}`")
     known = open_cache(spark, cache_path).where(F.col("tokenizer") == version(tokenizer)).select("digest")
     texts = held.select(digest(body).alias("digest"), content(body).alias("text"))
+    rows = scratch.save(texts.groupBy("digest").agg(F.count("*").alias("copies")), f"{scratch.folder(spark)}/rows")
     misses = texts.join(known, "digest", "left_anti").groupBy("digest").agg(F.first("text").alias("text"))
     with scratch.freed(spark):
         encoded(misses, tokenizer).write.mode("append").parquet(cache_path)
     counts = open_cache(spark, cache_path).where(F.col("tokenizer") == version(tokenizer))
     # two runs at a time may both have appended a digest
     counts = counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = counts.join(rows, "digest")
+    total = rows.agg(F.sum("copies")).first()[0] or 0
     keyed = held.select("row", digest(body).alias("digest"), F.octet_length(content(body)).cast("long").alias("n_bytes"))
-    return keyed.join(counts, "digest").select("row.*", "n_bytes", "n_tokens")
+    other = F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string"))  # no digest has a blank
+    both = skew.beside(keyed, counts, "digest", "copies", total, other)
+    return both.select("row.*", "n_bytes", "found.n_tokens")
