@@ -7,7 +7,11 @@ One minus the Jaccard coefficient is a metric, and documents link at distance
    pivots it holds, and ties go by shingle hash, so its home region is that of
    its smallest hash. A linked document lacks at most n/5 of its n shingles;
    so the document is replicated into the regions of its n/5 + 1 first pivots
-   and no others, and meets every linked one in one of them.
+   and no others, and meets every linked one in one of them. Shingles that very
+   many points hold, as templates and notices do, come after all others in the
+   order of pivots: where a region is found to be crowded, its points' shingles
+   are counted, and points with such pivots get rarer ones. Any order will do,
+   so long as it is the same for all.
 2. Most documents are far from all others. Of a somewhat longer list of first
    pivots a linked document may be alone in n/5 regions at most. Blocks of
    documents ask shards of pivots which regions hold a second document; who
@@ -42,10 +46,11 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sensorlake.llm import blocks, graph, scratch, words
+from sensorlake.llm import blocks, graph, scratch, skew, words
 
 _U = np.uint64
 SHINGLE = 5
@@ -61,7 +66,9 @@ BROADCAST_BYTES = 32 << 20
 #: Points of a region that are compared in one group.
 REGION_POINTS = 2048
 #: Points, of whatever regions, that one group compares.
-GROUP_ROWS = 50_000
+GROUP_ROWS = 30_000
+#: A region of more points is crowded.
+CROWD = 512
 _TOLD = -1
 
 
@@ -207,6 +214,58 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)) if firsts else pa.array([], pa.int64()), batch.column("set").take(at)], names=["region", "set"])
 
 
+def _all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        held = [np.frombuffer(b.as_py(), dtype=np.int64) for b in batch.column("hashes")]
+        at = pa.array(np.repeat(np.arange(len(held)), [len(h) for h in held]))
+        regions = pa.array(np.concatenate(held)) if held else pa.array([], pa.int64())
+        yield pa.RecordBatch.from_arrays([regions, *(batch.column(c).take(at) for c in ("set", "n"))], names=["region", "set", "n"])
+
+
+def _few(rows: DataFrame, count: int) -> DataFrame:
+    """Rows of a long, to be broadcast if they are few enough."""
+    return F.broadcast(rows) if 8 * count <= BROADCAST_BYTES else rows
+
+
+def _uncrowded(points: DataFrame, path: str) -> DataFrame:
+    """The regions of each point: rows (region, set).
+
+    Frequent shingles are those that more than CROWD points of crowded regions
+    hold. They come last in the order of every point, and only points that have
+    one among their first pivots are dealt anew. That may crowd other regions, so
+    it is repeated until no region is crowded but those of frequent shingles, which
+    points have as pivots that hold little else.
+    """
+    members = points.select("set", "n", "hashes").mapInArrow(_regions, "region long, set binary")
+    frequent, known, turn = None, 0, 0
+    crowded_sets = None
+    while True:
+        crowds = members.groupBy("region").agg(F.count("*").alias("points")).where(F.col("points") > CROWD).select("region")
+        if frequent is not None:
+            crowds = crowds.join(_few(frequent, known), "region", "left_anti")
+        crowds = scratch.save(crowds, f"{path}/crowds-{turn}")
+        count = crowds.count()
+        if not count:
+            return members
+        found = members.join(_few(crowds, count), "region", "left_semi").select("set")
+        found = found if crowded_sets is None else found.union(crowded_sets)
+        crowded_sets = scratch.save(found.distinct(), f"{path}/crowded-{turn}")
+        held = points.join(crowded_sets, "set", "left_semi").select("set", "n", "hashes")
+        held = held.mapInArrow(_all_shingles, "region long, set binary, n long").groupBy("region").agg(F.count("*").alias("points"))
+        held = held.where(F.col("points") > CROWD).select("region")
+        frequent = scratch.save(held if frequent is None else held.union(frequent).distinct(), f"{path}/frequent-{turn}")
+        known = frequent.count()
+        often = _few(frequent.withColumn("late", F.lit(1)), known)
+        dealt = scratch.save(members.join(often, "region").select("set").distinct(), f"{path}/dealt-{turn}")
+        each = points.join(dealt, "set", "left_semi").select("set", "n", "hashes")
+        each = each.mapInArrow(_all_shingles, "region long, set binary, n long").join(often, "region", "left")
+        # hashes are ordered as whole numbers without a sign
+        place = F.row_number().over(W.partitionBy("set").orderBy(F.coalesce("late", F.lit(0)), F.col("region") < 0, "region"))
+        each = each.withColumn("place", place).where(F.col("place") <= F.floor(F.col("n") / 5) + 1).select("region", "set")
+        members = scratch.save(members.join(dealt, "set", "left_anti").unionByName(each), f"{path}/dealt-members-{turn}")
+        turn += 1
+
+
 def _clipped(counts: np.ndarray) -> list[bytes]:
     """Counts as bytes. Counts that stop at 255 differ by less than the counts do, so bounds hold."""
     return [row.tobytes() for row in np.minimum(counts, 255).astype(np.uint8)]
@@ -321,7 +380,7 @@ def _resolved(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame, DataFra
     chosen = chosen.groupBy("at.block").agg(F.collect_list("at.place").alias("places"))
     points = _beside(packed, scratch.save(chosen, f"{path}/chosen"))
     points = scratch.save(points.mapInArrow(_points(text), "set binary, n long, classes binary, hashes binary"), f"{path}/points")
-    members = points.select("set", "n", "hashes").mapInArrow(_regions, "region long, set binary")
+    members = _uncrowded(points, path)
     least = [F.min(_seeded(F.lit(k))).alias(f"m{k}") for k in range(PIVOTS)]
     regions = members.groupBy("region").agg(F.count("*").alias("points"), *least).where("points > 1")
     regions = regions.select("region", F.array(*[f"m{k}" for k in range(PIVOTS)]).alias("pivots"))
@@ -363,9 +422,12 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     rows = packed.select("block", "blob").mapInArrow(ids, "block long, place int, id long")
     rows = _rooted(sized, roots).join(rows, ["block", "place"])
-    least = rows.where("root is not null").groupBy("root").agg(F.min("id").alias("least"))
-    out = rows.join(least, "root", "left")
-    return out.select(F.col("id").alias(key), "n_shingles", F.coalesce("least", "id").alias("component_id"))
+    rows = scratch.save(rows, f"{scratch.folder(docs.sparkSession)}/rooted")
+    least = rows.where("root is not null").groupBy("root").agg(F.min("id").alias("least"), F.count("*").alias("rows"))
+    # no name of a set has 17 bytes
+    other = F.concat(F.unhex(F.md5(F.concat_ws(" ", "block", "place"))), F.unhex(F.lit("00")))
+    out = skew.beside(rows, least, "root", "rows", rows.count(), other)
+    return out.select(F.col("id").alias(key), "n_shingles", F.coalesce("found.least", "id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
