@@ -14,9 +14,10 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import deque
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Elements of the page language.
-_RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|textarea|select|title"
+#: Elements whose text runs to their end tag or, without one, to the end of the page.
+_RAW = "script|style|textarea|title"
+#: Elements that are left out with all they hold; one without an end tag holds nothing.
+_SKIPPED = frozenset("noscript template svg math iframe object canvas audio video select".split())
 _BLOCKS = frozenset(
     """address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer
     form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup p pre search section summary table
@@ -44,7 +48,7 @@ _ENDS = {
 _CLOSED = r"<(?:svg|math)(?=[\s/>])(?>(?:\s+|/(?!>)|[^\s\"'>/=]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?)*)/>"
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|{_CLOSED}|<({_RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<[!?/][^>]*>|<[a-zA-Z][^>]*>|[^<]+|<",
+    r"|<(/?)([a-zA-Z][^\s/>]*+)([^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+)>|<[!?/][^>]*+>|<[a-zA-Z][^>]*+>|[^<]+|<",
     re.DOTALL | re.IGNORECASE,
 )
 _NAMED = re.compile(r"(?:^|[\s\"'])(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.IGNORECASE)
@@ -63,13 +67,26 @@ _SCORE = {"nav": -6.0, "aside": -5.0, "footer": -5.0, "header": -4.0, "form": -6
 _OWN = {"p": 1.0, "pre": 0.8, "blockquote": 1.0, "h1": 1.0, "h2": 0.6, "h3": 0.4, "li": -0.4, "td": -0.2, "th": -0.4}
 
 
+#: Flow that counts as none.
+_NOTHING = 1e-9
+
+
 @dataclass
 class _Element:
+    """against, speaks_for: the lowest and highest score of the element and those around it."""
+
     name: str
     number: int
     score: float
     depth: int
     parent: _Element | None
+    against: float = 0.0
+    speaks_for: float = 0.0
+
+    def __post_init__(self):
+        if self.parent is not None:
+            self.against = min(self.parent.against, self.score)
+            self.speaks_for = max(self.parent.speaks_for, self.score)
 
 
 @dataclass
@@ -105,6 +122,27 @@ def _element_score(name: str, attributes: str, inside: _Element | None) -> float
     return score
 
 
+def _seen(page: str) -> Iterator[re.Match]:
+    """The tokens of a page without skipped elements, start and end tags matched from the inside out."""
+    tokens = list(_TOKEN.finditer(page))
+    open_: dict[str, list[int]] = {}
+    ends: dict[int, int] = {}
+    for k, token in enumerate(tokens):
+        name = token[3].lower() if token[3] else None
+        if name in _SKIPPED:
+            if not token[2]:
+                open_.setdefault(name, []).append(k)
+            elif open_.get(name):
+                ends[open_[name].pop()] = k
+    k = 0
+    while k < len(tokens):
+        if k in ends:
+            k = ends[k]
+        elif not (tokens[k][3] and tokens[k][3].lower() in _SKIPPED):
+            yield tokens[k]
+        k += 1
+
+
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page, in its order."""
     root = _Element("", 0, 0.0, 0, None)
@@ -112,6 +150,7 @@ def blocks_of(page: str) -> list[Block]:
     found: list[Block] = []
     parts: list[str] = []
     linked = 0
+    opened: Counter[str] = Counter()
 
     def flush() -> None:
         nonlocal linked
@@ -121,15 +160,25 @@ def blocks_of(page: str) -> list[Block]:
         parts.clear()
         linked = 0
 
-    def leave(names: set[str], stops: set[str]) -> None:
+    def up_to(element: _Element) -> None:
+        """Leave this element and all inside it."""
         nonlocal here
-        at = here
+        while here is not element.parent:
+            opened[here.name] -= 1
+            here = here.parent
+
+    def leave(names: set[str], stops: set[str]) -> None:
+        at, left = here, None
+        if not any(opened[name] for name in names):
+            return
         while at.parent is not None and at.name not in stops:
             if at.name in names:
-                here = at.parent
+                left = at
             at = at.parent
+        if left is not None:
+            up_to(left)
 
-    for token in _TOKEN.finditer(page):
+    for token in _seen(page):
         name = token[3]
         if name is None:
             body = token[0]
@@ -144,17 +193,18 @@ def blocks_of(page: str) -> list[Block]:
         if name in _BLOCKS:
             flush()
             if token[2]:
-                at = here
-                while at.parent is not None and at.name != name:
-                    at = at.parent
-                if at.parent is not None:
-                    here = at.parent
+                if opened[name]:
+                    at = here
+                    while at.name != name:
+                        at = at.parent
+                    up_to(at)
             else:
                 if name in _ENDS:
                     leave(*_ENDS[name])
                 elif here.name == "p":
-                    here = here.parent
+                    up_to(here)
                 if name not in _EMPTY:
+                    opened[name] += 1
                     here = _Element(name, count, _element_score(name, token[4], here), here.depth + 1, here)
                     count += 1
             links = 0 if name in ("article", "main", "body") else links
@@ -169,10 +219,7 @@ def blocks_of(page: str) -> list[Block]:
 
 
 def _judge(block: Block) -> None:
-    against, speaks_for, at = 0.0, 0.0, block.element
-    while at is not None:
-        against, speaks_for = min(against, at.score), max(speaks_for, at.score)
-        at = at.parent
+    against, speaks_for = block.element.against, block.element.speaks_for
     size = len(block.text)
     score = against + speaks_for + _OWN.get(block.element.name, 0.0) + min(2.0, math.log1p(size / 40)) - 0.25
     score -= 4.0 * block.linked / size
@@ -188,38 +235,60 @@ def _cost(score: float) -> float:
 
 
 def min_cut(n: int, source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Which of n nodes stay with the source in a minimum cut, by shortest augmenting paths.
+    """Which of n nodes stay with the source in a minimum cut, by flows along all shortest paths at a time.
 
-    source, sink: capacities to the terminals; edges: pairs and a capacity both ways.
+    source, sink: capacities to the terminals; edges: pairs and a capacity both
+    ways. Flow that a node takes from the source is spent on the shortest ways to
+    the sink, which are short where costs differ from place to place; so rounds
+    are few and each is in proportion to the edges.
     """
-    s, t = n, n + 1
-    room: list[dict[int, float]] = [{} for _ in range(n + 2)]
+    t = n
+    room: list[dict[int, float]] = [{} for _ in range(n + 1)]
+    supply = [0.0] * n
     for k in range(n):
         direct = min(source[k], sink[k])  # flows through at once
-        room[s][k], room[k][s] = source[k] - direct, 0.0
+        supply[k] = source[k] - direct
         room[k][t], room[t][k] = sink[k] - direct, 0.0
     for a, b, capacity in edges:
         room[a][b] = room[a].get(b, 0.0) + capacity
         room[b][a] = room[b].get(a, 0.0) + capacity
     while True:
-        before = {s: s}
-        queue = deque([s])
-        while queue and t not in before:
-            at = queue.popleft()
-            for to, left in room[at].items():
-                if left > 1e-9 and to not in before:
-                    before[to] = at
-                    queue.append(to)
-        if t not in before:
-            return [k in before for k in range(n)]
-        path, at = [], t
-        while at != s:
-            path.append((before[at], at))
-            at = before[at]
-        flow = min(room[a][b] for a, b in path)
-        for a, b in path:
-            room[a][b] -= flow
-            room[b][a] += flow
+        level = [-1] * (n + 1)
+        reached = [k for k in range(n) if supply[k] > _NOTHING]
+        for k in reached:
+            level[k] = 0
+        for at in reached:  # grows meanwhile
+            if at != t:
+                for to, left in room[at].items():
+                    if left > _NOTHING and level[to] < 0:
+                        level[to] = level[at] + 1
+                        reached.append(to)
+        if level[t] < 0:
+            return [level[k] >= 0 for k in range(n)]
+        onward = [iter(list(r)) for r in room]
+        for begin in range(n):
+            while supply[begin] > _NOTHING:
+                path, at = [], begin
+                while at != t:
+                    for to in onward[at]:
+                        if level[to] == level[at] + 1 and room[at][to] > _NOTHING:
+                            path.append((at, to))
+                            at = to
+                            break
+                    else:  # nothing leads on from here
+                        level[at] = -2
+                        if not path:
+                            break
+                        at = path.pop()[0]
+                if at != t:
+                    break
+                flow = min(supply[begin], *(room[a][b] for a, b in path))
+                supply[begin] -= flow
+                for a, b in path:
+                    room[a][b] -= flow
+                    room[b][a] += flow
+                    if room[a][b] > _NOTHING:  # the edge has room for the next path
+                        onward[a] = chain([b], onward[a])
 
 
 def _distance(a: _Element, b: _Element) -> int:
