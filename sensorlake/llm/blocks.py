@@ -31,7 +31,8 @@ KEYS_PER_SHARD = 1_500_000
 _U = np.uint64
 
 
-def _packed(batch: pa.RecordBatch) -> bytes:
+def packed(batch: pa.RecordBatch) -> bytes:
+    """Rows as one value."""
     out = io.BytesIO()
     with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
         writer.write_batch(batch)
@@ -59,12 +60,12 @@ def pack(df: DataFrame, text: str, path: str) -> DataFrame:
                     part = batch.slice(at, min(BLOCK_ROWS, high - at))
                     size = int(places[at + part.num_rows] - places[at])
                     yield pa.RecordBatch.from_pydict(
-                        {"block": [number], "docs": [part.num_rows], "size": [size], "blob": [_packed(part)]}
+                        {"block": [number], "docs": [part.num_rows], "size": [size], "blob": [packed(part)]}
                     )
                     number += 1
 
-    packed = df.mapInArrow(run, "block long, docs long, size long, blob binary")
-    return scratch.save(packed, path)
+    blocks = df.mapInArrow(run, "block long, docs long, size long, blob binary")
+    return scratch.save(blocks, path)
 
 
 def shards_for(keys: int) -> int:

@@ -45,8 +45,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,6 +69,8 @@ REGION_POINTS = 2048
 GROUP_ROWS = 30_000
 #: A region of more points is crowded.
 CROWD = 512
+#: Shingles of points that ask together which of them are frequent.
+BLOCK_SHINGLES = 1 << 19
 _TOLD = -1
 
 
@@ -227,6 +229,62 @@ def _few(rows: DataFrame, count: int) -> DataFrame:
     return F.broadcast(rows) if 8 * count <= BROADCAST_BYTES else rows
 
 
+def _packed_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    number = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        places = np.concatenate(([0], np.cumsum(batch.column("n").to_numpy())))
+        for low, high in words.chunks(places, BLOCK_SHINGLES):
+            blob = blocks.packed(batch.slice(low, high - low))
+            yield pa.RecordBatch.from_pydict({"block": [number], "size": [int(places[high] - places[low])], "blob": [blob]})
+            number += 1
+
+
+def _held(table: pa.Table) -> list[np.ndarray]:
+    return [np.frombuffer(b.as_py(), dtype=_U) for b in table.column("hashes")]
+
+
+def _late(asked: pa.Table, frequent: pa.Table) -> pa.Table:
+    """For each question, which of its keys are frequent."""
+    known = np.sort(frequent["region"].to_numpy().view(_U))
+    bits = []
+    for keys in asked["keys"]:
+        own = np.frombuffer(keys.as_py(), dtype=_U)
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        bits.append((known[at] == own if len(known) else np.zeros(len(own), dtype=bool)).tobytes())
+    return pa.table({"block": asked["block"], "shard": asked["shard"], "bits": pa.array(bits, pa.binary())})
+
+
+def _dealt_anew(held: DataFrame, frequent: DataFrame, path: str) -> DataFrame:
+    """The regions of points by their first shingles, frequent ones last: blocks of points ask shards which are."""
+    packed = scratch.save(held.mapInArrow(_packed_points, "block long, size long, blob binary"), path)
+    shards = blocks.shards_for(packed.agg(F.sum("size")).first()[0] or 0)
+    asked = blocks.questions(packed, shards, lambda table: (np.unique(np.concatenate(_held(table))), {}), [])
+
+    def of_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.sort(batch.column("region").to_numpy().view(_U))
+            shard = np.repeat(np.arange(shards, dtype=np.int32), np.diff(blocks.by_shard(keys, shards)))
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(keys.view(np.int64))], names=["shard", "region"])
+
+    owned = frequent.mapInArrow(of_shard, "shard int, region long")
+    told = asked.groupBy("shard").cogroup(owned.groupBy("shard")).applyInArrow(_late, "block long, shard int, bits binary")
+    both = packed.select("block", "blob").join(blocks.gathered(told, "told"), "block").select("blob", "told")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob, parts in zip(batch.column("blob"), batch.column("told").to_pylist(), strict=True):
+                table = blocks.unpacked(blob.as_py())
+                hashes = _held(table)
+                keys, late = np.unique(np.concatenate(hashes)), blocks.joined(parts, bool)
+                firsts = [h[np.argsort(late[np.searchsorted(keys, h)], kind="stable")[: len(h) // 5 + 1]] for h in hashes]
+                at = pa.array(np.repeat(np.arange(len(firsts)), [len(f) for f in firsts]))
+                regions = pa.array(np.concatenate(firsts).view(np.int64))
+                sets = table.column("set").combine_chunks().take(at)
+                yield pa.RecordBatch.from_arrays([regions, sets], names=["region", "set"])
+
+    return both.mapInArrow(deal, "region long, set binary")
+
+
 def _uncrowded(points: DataFrame, path: str) -> DataFrame:
     """The regions of each point: rows (region, set).
 
@@ -255,14 +313,10 @@ def _uncrowded(points: DataFrame, path: str) -> DataFrame:
         held = held.where(F.col("points") > CROWD).select("region")
         frequent = scratch.save(held if frequent is None else held.union(frequent).distinct(), f"{path}/frequent-{turn}")
         known = frequent.count()
-        often = _few(frequent.withColumn("late", F.lit(1)), known)
-        dealt = scratch.save(members.join(often, "region").select("set").distinct(), f"{path}/dealt-{turn}")
-        each = points.join(dealt, "set", "left_semi").select("set", "n", "hashes")
-        each = each.mapInArrow(_all_shingles, "region long, set binary, n long").join(often, "region", "left")
-        # hashes are ordered as whole numbers without a sign
-        place = F.row_number().over(W.partitionBy("set").orderBy(F.coalesce("late", F.lit(0)), F.col("region") < 0, "region"))
-        each = each.withColumn("place", place).where(F.col("place") <= F.floor(F.col("n") / 5) + 1).select("region", "set")
-        members = scratch.save(members.join(dealt, "set", "left_anti").unionByName(each), f"{path}/dealt-members-{turn}")
+        dealt = members.join(_few(frequent, known), "region", "left_semi").select("set")
+        dealt = scratch.save(dealt.distinct(), f"{path}/dealt-{turn}")
+        anew = _dealt_anew(points.join(dealt, "set", "left_semi").select("set", "n", "hashes"), frequent, f"{path}/anew-{turn}")
+        members = scratch.save(members.join(dealt, "set", "left_anti").unionByName(anew), f"{path}/dealt-members-{turn}")
         turn += 1
 
 
