@@ -216,19 +216,6 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)) if firsts else pa.array([], pa.int64()), batch.column("set").take(at)], names=["region", "set"])
 
 
-def _all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        held = [np.frombuffer(b.as_py(), dtype=np.int64) for b in batch.column("hashes")]
-        at = pa.array(np.repeat(np.arange(len(held)), [len(h) for h in held]))
-        regions = pa.array(np.concatenate(held)) if held else pa.array([], pa.int64())
-        yield pa.RecordBatch.from_arrays([regions, *(batch.column(c).take(at) for c in ("set", "n"))], names=["region", "set", "n"])
-
-
-def _few(rows: DataFrame, count: int) -> DataFrame:
-    """Rows of a long, to be broadcast if they are few enough."""
-    return F.broadcast(rows) if 8 * count <= BROADCAST_BYTES else rows
-
-
 def _packed_points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = TaskContext.get().partitionId() << 32
     for batch in batches:
@@ -243,6 +230,24 @@ def _held(table: pa.Table) -> list[np.ndarray]:
     return [np.frombuffer(b.as_py(), dtype=_U) for b in table.column("hashes")]
 
 
+def _frequent(held: DataFrame, path: str) -> DataFrame:
+    """The shingles that more than CROWD of the points hold; blocks of points send shards what they hold and how often."""
+    packed = scratch.save(held.mapInArrow(_packed_points, "block long, size long, blob binary"), path)
+    shards = blocks.shards_for(packed.agg(F.sum("size")).first()[0] or 0)
+
+    def keys(table: pa.Table) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        own, counts = np.unique(np.concatenate(_held(table)), return_counts=True)
+        return own, {"counts": counts.astype(np.int64)}
+
+    def count(table: pa.Table) -> pa.Table:
+        own = np.concatenate([np.frombuffer(b.as_py(), dtype=_U) for b in table["keys"]])
+        counts = np.concatenate([np.frombuffer(b.as_py(), dtype=np.int64) for b in table["counts"]])
+        distinct, at = np.unique(own, return_inverse=True)
+        return pa.table({"region": distinct[np.bincount(at, weights=counts) > CROWD].view(np.int64)})
+
+    return blocks.questions(packed, shards, keys, ["counts"]).groupBy("shard").applyInArrow(count, "region long")
+
+
 def _late(asked: pa.Table, frequent: pa.Table) -> pa.Table:
     """For each question, which of its keys are frequent."""
     known = np.sort(frequent["region"].to_numpy().view(_U))
@@ -308,9 +313,7 @@ def _uncrowded(points: DataFrame, path: str) -> DataFrame:
         found = members.join(_few(crowds, count), "region", "left_semi").select("set")
         found = found if crowded_sets is None else found.union(crowded_sets)
         crowded_sets = scratch.save(found.distinct(), f"{path}/crowded-{turn}")
-        held = points.join(crowded_sets, "set", "left_semi").select("set", "n", "hashes")
-        held = held.mapInArrow(_all_shingles, "region long, set binary, n long").groupBy("region").agg(F.count("*").alias("points"))
-        held = held.where(F.col("points") > CROWD).select("region")
+        held = _frequent(points.join(crowded_sets, "set", "left_semi").select("set", "n", "hashes"), f"{path}/counted-{turn}")
         frequent = scratch.save(held if frequent is None else held.union(frequent).distinct(), f"{path}/frequent-{turn}")
         known = frequent.count()
         dealt = members.join(_few(frequent, known), "region", "left_semi").select("set")
