@@ -9,14 +9,16 @@ fits all items.
 
 Items lie in blocks. For every term and block the index holds the highest impact
 in the block. A passage first adds up the block maxima of its terms, and only
-blocks whose sum can reach the threshold are scored item by item. Terms of so
+blocks whose sum can reach the threshold are scored item by item; what its terms
+have in other blocks is never read. Terms of so
 little weight that all of them together stay below SLACK take no part in the
 first step; the threshold there is lower by as much. Both bounds are upper
 bounds, so every item above the threshold is retrieved.
 
 What is retrieved is verified on five-word shingles: the item, or both its
 question (all but the last sentence) and its answer (the last one), must be
-contained in the passage to 0.8 or more.
+contained in the passage to 0.8 or more. The item as a whole is enough, since
+passages may end within the answer; both overlaps are returned.
 
 All chunks of a task's texts are scored by array operations. The index is built
 from one shard of items at a time, of SHARD_ITEMS at most, and sent with the job.
@@ -65,16 +67,16 @@ def _hashes(text: str) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Impacts by term, as runs in arrays; blocks likewise. Items without words are not in it."""
+    """Impacts by term and block, as runs in arrays. Items without words are not in it."""
 
     ids: list
     terms: np.ndarray  # sorted hashes
-    starts: np.ndarray  # where each term's run of (item, impact) begins
-    items: np.ndarray
+    items: np.ndarray  # by term, then by item
     impacts: np.ndarray
     block_starts: np.ndarray  # where each term's run of (block, highest impact) begins
     blocks: np.ndarray
     highest: np.ndarray
+    block_items: np.ndarray  # where each of these blocks begins in items and impacts, and the end
     slight: np.ndarray  # of each term: whether it is left out of the first step
     slack: float
     stretch: int  # words
@@ -124,9 +126,9 @@ def build(rows: list[tuple], whole: Statistics | None = None) -> Index | None:
         question, answer = (_shingles(_hashes(x)) for x in _sentences(text))
         parts.append((_shingles(hashes), question, answer))
     return Index(
-        [key for key, _, _ in held], terms, np.searchsorted(at, np.arange(len(terms) + 1)), item, impact,
+        [key for key, _, _ in held], terms, item, impact,
         np.searchsorted(at[first], np.arange(len(terms) + 1)), block[first], np.maximum.reduceat(impact, first),
-        slight, float(running[running < SLACK].max(initial=0.0)), max(32, whole.longest), parts,
+        np.append(first, len(at)), slight, float(running[running < SLACK].max(initial=0.0)), max(32, whole.longest), parts,
     )
 
 
@@ -169,16 +171,17 @@ def retrieve(index: Index, term: np.ndarray, stretch: np.ndarray, pairs: np.ndar
     if not len(candidates):
         none = np.zeros(0, dtype=np.int64)
         return none, none, none.astype(float)
-    # items of those blocks, by all distinct terms of the passage
-    passages, wanted = np.unique(candidates // n_blocks), set(candidates.tolist())
+    # items of those blocks, by all distinct terms of the passage; what the terms have in other blocks is skipped
+    passages, cuts = np.unique(candidates // n_blocks, return_index=True)
     begins = np.searchsorted(stretch, np.arange(int(pairs.max()) + 2))
     out: list[tuple[int, int, float]] = []
-    for passage in passages.tolist():
+    for passage, wanted in zip(passages.tolist(), np.split(candidates % n_blocks, cuts[1:]), strict=True):
         a, b = pairs[passage]
         own = np.unique(np.concatenate([term[begins[a] : begins[a + 1]], term[begins[b] : begins[b + 1]]]))
-        at, _ = _runs(index.starts, own)
+        at, _ = _runs(index.block_starts, own)
+        at, _ = _runs(index.block_items, at[np.isin(index.blocks[at], wanted)])
         scores = np.bincount(index.items[at], weights=index.impacts[at])
-        out += [(passage, k, scores[k]) for k in np.flatnonzero(scores >= threshold).tolist() if passage * n_blocks + k // BLOCK_ITEMS in wanted]
+        out += [(passage, k, scores[k]) for k in np.flatnonzero(scores >= threshold).tolist()]
     found = np.array(out).reshape(-1, 3)
     return found[:, 0].astype(np.int64), found[:, 1].astype(np.int64), found[:, 2]
 
