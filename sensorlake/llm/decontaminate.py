@@ -133,10 +133,11 @@ def build(rows: list[tuple], whole: Statistics | None = None) -> Index | None:
 
 
 def _runs(starts: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the runs of the given terms, and which of the terms each place is of."""
-    sizes = starts[of + 1] - starts[of]
-    owner = np.repeat(np.arange(len(of)), sizes)
-    return np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[of][owner], owner
+    """Places of the runs with the given numbers, and the size of each run."""
+    begins = starts[of]
+    sizes = starts[of + 1] - begins
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - ends + sizes, sizes), sizes
 
 
 def retrieve(index: Index, term: np.ndarray, stretch: np.ndarray, pairs: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,8 +148,8 @@ def retrieve(index: Index, term: np.ndarray, stretch: np.ndarray, pairs: np.ndar
     """
     n_blocks = int(index.blocks.max()) + 1
     strong = ~index.slight[term]
-    at, owner = _runs(index.block_starts, term[strong])
-    cell = stretch[strong][owner] * n_blocks + index.blocks[at]
+    at, sizes = _runs(index.block_starts, term[strong])
+    cell = np.repeat(stretch[strong] * n_blocks, sizes) + index.blocks[at]
     cells, where = np.unique(cell, return_inverse=True)
     sums = np.bincount(where, weights=index.highest[at])
     # a passage of a block sums what its two stretches have there
@@ -175,11 +176,14 @@ def retrieve(index: Index, term: np.ndarray, stretch: np.ndarray, pairs: np.ndar
     passages, cuts = np.unique(candidates // n_blocks, return_index=True)
     begins = np.searchsorted(stretch, np.arange(int(pairs.max()) + 2))
     out: list[tuple[int, int, float]] = []
+    reached = np.zeros(n_blocks, dtype=bool)
     for passage, wanted in zip(passages.tolist(), np.split(candidates % n_blocks, cuts[1:]), strict=True):
         a, b = pairs[passage]
         own = np.unique(np.concatenate([term[begins[a] : begins[a + 1]], term[begins[b] : begins[b + 1]]]))
+        reached[wanted] = True
         at, _ = _runs(index.block_starts, own)
-        at, _ = _runs(index.block_items, at[np.isin(index.blocks[at], wanted)])
+        at, _ = _runs(index.block_items, at[reached[index.blocks[at]]])
+        reached[wanted] = False
         scores = np.bincount(index.items[at], weights=index.impacts[at])
         out += [(passage, k, scores[k]) for k in np.flatnonzero(scores >= threshold).tolist()]
     found = np.array(out).reshape(-1, 3)
