@@ -20,7 +20,8 @@ question (all but the last sentence) and its answer (the last one), must be
 contained in the passage to 0.8 or more. The item as a whole is enough, since
 passages may end within the answer; both overlaps are returned.
 
-All chunks of a task's texts are scored by array operations. The index is built
+All chunks of a task's texts are scored by array operations, CELLS sums of block
+maxima at a time. The index is built
 from one shard of items at a time, of SHARD_ITEMS at most, and sent with the job.
 Item count, document frequencies, mean length and the length of a stretch are
 those of all items, counted by Spark, so results do not depend on the shards.
@@ -36,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sensorlake.llm import scratch, words
 from sensorlake.llm.words import Words
@@ -44,9 +46,11 @@ _U = np.uint64
 THRESHOLD = 0.5
 OVERLAP = 0.8
 SHINGLE = 5
-BLOCK_ITEMS = 8
+BLOCK_ITEMS = 4
 SLACK = 0.1
 SHARD_ITEMS = 20_000
+#: Stretches times blocks of items that are bounded at a time.
+CELLS = 1 << 17
 K1, B = 1.2, 0.75
 
 
@@ -143,51 +147,57 @@ def _runs(starts: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def retrieve(index: Index, term: np.ndarray, stretch: np.ndarray, pairs: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Passages, items and scores of all pairs that score the threshold or more.
 
-    term, stretch: distinct pairs of an indexed term and the stretch that has it;
-    pairs: the two stretches of each passage (equal for a document of one).
+    term, stretch: distinct pairs of an indexed term and the stretch that has it,
+    by stretch; pairs: the two stretches of each passage (equal for a document of
+    one), ascending. Passages are taken in slices of CELLS stretches times blocks.
     """
     n_blocks = int(index.blocks.max()) + 1
-    strong = ~index.slight[term]
-    at, sizes = _runs(index.block_starts, term[strong])
-    cell = np.repeat(stretch[strong] * n_blocks, sizes) + index.blocks[at]
-    cells, where = np.unique(cell, return_inverse=True)
-    sums = np.bincount(where, weights=index.highest[at])
-    # a passage of a block sums what its two stretches have there
-    passages_of = [[], []]
-    for side in (0, 1):
-        order = np.argsort(pairs[:, side], kind="stable")
-        low = np.searchsorted(pairs[order, side], cells // n_blocks, side="left")
-        high = np.searchsorted(pairs[order, side], cells // n_blocks, side="right")
-        own = np.repeat(np.arange(len(cells)), high - low)
-        place = np.arange(len(own)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[own]
-        chosen = order[place]
-        if side:
-            other = pairs[chosen, 0] != pairs[chosen, 1]
-            own, chosen = own[other], chosen[other]
-        passages_of[side] = [chosen * n_blocks + (cells % n_blocks)[own], sums[own]]
-    both = np.concatenate([passages_of[0][0], passages_of[1][0]])
-    candidates, where = np.unique(both, return_inverse=True)
-    bound = np.bincount(where, weights=np.concatenate([passages_of[0][1], passages_of[1][1]]), minlength=len(candidates))
-    candidates = candidates[bound >= threshold - index.slack - 1e-9]
-    if not len(candidates):
+    begins = np.searchsorted(stretch, np.arange(int(pairs.max()) + 2))
+    found = []
+    low = 0
+    while low < len(pairs):
+        high = max(low + 1, int(np.searchsorted(pairs[:, 1], pairs[low, 0] + CELLS // n_blocks)))
+        for passage, item, score in _retrieve(index, term, begins, pairs[low:high], threshold, n_blocks):
+            found.append((passage + low, item, score))
+        low = high
+    if not found:
         none = np.zeros(0, dtype=np.int64)
         return none, none, none.astype(float)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _retrieve(index: Index, term: np.ndarray, begins: np.ndarray, pairs: np.ndarray, threshold: float, n_blocks: int) -> Iterator[tuple]:
+    base, end = int(pairs[0, 0]), int(pairs[-1, 1]) + 1
+    own = term[begins[base] : begins[end]]
+    where = np.repeat(np.arange(end - base), np.diff(begins[base : end + 1]))
+    strong = ~index.slight[own]
+    at, sizes = _runs(index.block_starts, own[strong])
+    cell = np.repeat(where[strong] * n_blocks, sizes) + index.blocks[at]
+    sums = np.bincount(cell, weights=index.highest[at], minlength=(end - base) * n_blocks).reshape(-1, n_blocks)
+    # a passage of a block sums what its two stretches have there
+    two = pairs[:, 0] != pairs[:, 1]
+    bound = sums[pairs[:, 0] - base]
+    bound[two] += sums[pairs[two, 1] - base]
+    passage, block = np.nonzero(bound >= threshold - index.slack - 1e-9)
+    if not len(passage):
+        return
     # items of those blocks, by all distinct terms of the passage; what the terms have in other blocks is skipped
-    passages, cuts = np.unique(candidates // n_blocks, return_index=True)
-    begins = np.searchsorted(stretch, np.arange(int(pairs.max()) + 2))
-    out: list[tuple[int, int, float]] = []
-    reached = np.zeros(n_blocks, dtype=bool)
-    for passage, wanted in zip(passages.tolist(), np.split(candidates % n_blocks, cuts[1:]), strict=True):
-        a, b = pairs[passage]
-        own = np.unique(np.concatenate([term[begins[a] : begins[a + 1]], term[begins[b] : begins[b + 1]]]))
-        reached[wanted] = True
-        at, _ = _runs(index.block_starts, own)
-        at, _ = _runs(index.block_items, at[reached[index.blocks[at]]])
-        reached[wanted] = False
-        scores = np.bincount(index.items[at], weights=index.impacts[at])
-        out += [(passage, k, scores[k]) for k in np.flatnonzero(scores >= threshold).tolist()]
-    found = np.array(out).reshape(-1, 3)
-    return found[:, 0].astype(np.int64), found[:, 1].astype(np.int64), found[:, 2]
+    number = np.full(bound.shape, -1)
+    number[passage, block] = np.arange(len(passage))
+    wanted = np.unique(passage)
+    keys = []
+    for side, chosen in ((0, wanted), (1, wanted[two[wanted]])):
+        at, sizes = _runs(begins, pairs[chosen, side])
+        keys.append(np.repeat(chosen * len(index.terms), sizes) + term[at])
+    keys = np.unique(np.concatenate(keys))
+    at, sizes = _runs(index.block_starts, keys % len(index.terms))
+    candidate = number[np.repeat(keys // len(index.terms), sizes), index.blocks[at]]
+    reached = candidate >= 0
+    at, sizes = _runs(index.block_items, at[reached])
+    place = np.repeat(candidate[reached] * BLOCK_ITEMS, sizes) + index.items[at] % BLOCK_ITEMS
+    scores = np.bincount(place, weights=index.impacts[at], minlength=len(passage) * BLOCK_ITEMS)
+    over = np.flatnonzero(scores >= threshold)
+    yield passage[over // BLOCK_ITEMS], block[over // BLOCK_ITEMS] * BLOCK_ITEMS + over % BLOCK_ITEMS, scores[over]
 
 
 def _contained(part: np.ndarray, whole: np.ndarray) -> float:
@@ -270,11 +280,13 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
 
     One row per row of docs and item that leaks into it. Null and empty texts
     and items leak nothing; items that repeat are found each under its id. Rows
-    of docs that repeat are each searched. Other columns are left out.
+    of docs that repeat are each searched. Other columns are left out. The key
+    may have any name but those of the other four columns.
     """
     held = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    id_type = items.schema["item_id"].dataType.simpleString()
-    schema = f"{key} {held.schema['key'].dataType.simpleString()}, item_id {id_type}, score double, question_overlap double, answer_overlap double"
+    names = [key, "item_id", "score", "question_overlap", "answer_overlap"]
+    types = [held.schema["key"].dataType, items.schema["item_id"].dataType, *[DoubleType()] * 3]
+    schema = StructType([StructField(name, kind) for name, kind in zip(names, types, strict=True)])
     out = docs.sparkSession.createDataFrame([], schema)
     for index in indexes(items):
 
@@ -284,9 +296,9 @@ def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
                     found = leaks(part, index, threshold, overlap)
                     if found:
                         at, item, *values = zip(*found, strict=True)
-                        names = batch.column("key").take(pa.array([part.first + k for k in at]))
-                        arrays = [names, pa.array([index.ids[k] for k in item]), *[pa.array(v, pa.float64()) for v in values]]
-                        yield pa.RecordBatch.from_arrays(arrays, names=[key, "item_id", "score", "question_overlap", "answer_overlap"])
+                        keys = batch.column("key").take(pa.array([part.first + k for k in at]))
+                        arrays = [keys, pa.array([index.ids[k] for k in item]), *[pa.array(v, pa.float64()) for v in values]]
+                        yield pa.RecordBatch.from_arrays(arrays, names=names)
 
         out = out.union(held.mapInArrow(run, schema))
     return out
