@@ -14,6 +14,10 @@ from sensorlake.session import prepare
 # Example annotation key of the box documents built below.
 ALIAS = "example.org/alias"
 
+# Tasks that write logs at least, and the bytes of log lines from which there are more.
+LOG_SLICES = 8
+SLICE_BYTES = 32 << 20
+
 METRIC_NAME = """CASE event_type
     WHEN 'click' THEN 'kafka_server_brokertopicmetrics_messagesin_total'
     WHEN 'view' THEN 'kafka_server_brokertopicmetrics_bytesin_total'
@@ -206,28 +210,44 @@ def grow_logs(lines: DataFrame, folder: str, part: int, *, rotate: bool = False)
     """Let the log file of each pod grow by its lines of a part; ``rotate`` renames every second file first.
 
     Tasks write as a container runtime does, to a place that all machines see. A
-    task that runs again finds out from the lines of earlier parts where its own
-    begin, and writes them there again.
+    pod may log more than one task should read, so the lines of a part are cut
+    into slices by their hash, as many as their bytes ask for. Each task writes a
+    slice, in each file behind the bytes of earlier parts and slices; one that
+    runs again writes the same bytes there.
     """
     folder = folder.removeprefix("file://")
+    lines = lines.withColumn("bytes", (F.octet_length("value") + 1).cast("long"))
+    own, size = F.col("part") == part, F.col("bytes")
+    pods = lines.filter(F.col("part") <= part).groupBy("pod")
+    sizes = pods.agg(F.sum(F.when(own, 0).otherwise(size)).alias("before"), F.sum(F.when(own, size).otherwise(0)).alias("added")).collect()
+    ends: dict[int | None, int] = {}
+    for row in sizes:
+        place = f"{folder}/ns_pod-{row['pod']}/app"
+        os.makedirs(place, exist_ok=True)
+        renamed = rotate and row["before"] > 0 and (row["pod"] or 0) % 2 == 0
+        if renamed and not os.path.exists(f"{place}/0.log.rotated"):
+            os.rename(f"{place}/0.log", f"{place}/0.log.rotated")
+        open(f"{place}/0.log", "ab").close()
+        ends[row["pod"]] = 0 if renamed else row["before"]
+
+    slices = max(LOG_SLICES, -(-sum(row["added"] for row in sizes) // SLICE_BYTES))
+    # Not the hash that deals lines to parts, which would leave slices empty.
+    number = F.pmod(F.hash("doc_id", "line_no", "value"), F.lit(slices))
+    sliced = lines.filter(own).select("pod", number.alias("slice"), F.col("value").cast("binary").alias("value"), "bytes")
+    starts: dict[tuple[int | None, int], int] = {}
+    found = sliced.groupBy("pod", "slice").agg(F.sum("bytes").alias("bytes")).collect()
+    for row in sorted(found, key=lambda row: row["slice"]):
+        starts[row["pod"], row["slice"]] = ends[row["pod"]]
+        ends[row["pod"]] += row["bytes"]
 
     def write(rows):
-        for pod, own in itertools.groupby(rows, key=lambda row: row["pod"]):
-            texts: dict[int, list[str]] = {}
-            for row in own:
-                texts.setdefault(row["part"], []).append(row["value"] + "\n")
-            place = f"{folder}/ns_pod-{pod}/app"
-            os.makedirs(place, exist_ok=True)
-            renamed = rotate and pod % 2 == 0
-            if renamed and not os.path.exists(f"{place}/0.log.rotated"):
-                os.rename(f"{place}/0.log", f"{place}/0.log.rotated")
-            before = "" if renamed else "".join("".join(texts.get(p, [])) for p in range(part))
-            with open(f"{place}/0.log", "r+b" if os.path.exists(f"{place}/0.log") else "w+b") as file:
-                file.seek(len(before.encode()))
-                file.write("".join(texts.get(part, [])).encode())
-
-    parts = lines.filter(F.col("part") <= part).repartition(8, "pod")
-    parts.sortWithinPartitions("pod", "part", "value").foreachPartition(write)
+        for key, texts in itertools.groupby(rows, key=lambda row: (row["pod"], row["slice"])):
+            with open(f"{folder}/ns_pod-{key[0]}/app/0.log", "r+b", buffering=1 << 20) as file:
+                file.seek(starts[key])
+                file.writelines(bytes(row["value"]) + b"\n" for row in texts)
+
+    dealt = sliced.drop("bytes").repartitionById(slices, F.col("slice"))
+    dealt.sortWithinPartitions("pod", "slice", "value").foreachPartition(write)
 
 
 def node_documents(orders: DataFrame) -> DataFrame:
